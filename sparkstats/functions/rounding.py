@@ -18,21 +18,23 @@ def _c(x) -> Column:
 
 def half_even(col, digits: int = 2) -> Column:
     s = float(10 ** digits)
-    return F.rint(_c(col).cast("double") * s) / s
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (IEEE), identically in both engines.
+    return F.rint(_c(col).cast("double") * s) / s + 0.0
 
 
 def half_away(col, digits: int = 2) -> Column:
     s = float(10 ** digits)
     x = _c(col).cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * s + 0.5) / s
+    return F.signum(x) * F.floor(F.abs(x) * s + 0.5) / s + 0.0
 
 
 # SQL text twins (DuckDB dialect) for the oracle.
 def sql_half_even(expr: str, digits: int = 2) -> str:
-    return f"(round_even(CAST({expr} AS DOUBLE) * {float(10 ** digits)!r}, 0) / {float(10 ** digits)!r})"
+    s = repr(float(10 ** digits))
+    return f"(round_even(CAST({expr} AS DOUBLE) * {s}, 0) / {s} + 0.0)"
 
 
 def sql_half_away(expr: str, digits: int = 2) -> str:
     s = repr(float(10 ** digits))
     return (f"(CAST(sign(CAST({expr} AS DOUBLE)) AS DOUBLE) * "
-            f"floor(abs(CAST({expr} AS DOUBLE)) * {s} + 0.5) / {s})")
+            f"floor(abs(CAST({expr} AS DOUBLE)) * {s} + 0.5) / {s} + 0.0)")

@@ -59,5 +59,5 @@ def query(name: str, sql: str | None = None, rounded=None, digits: int = 6):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import flight_queries  # noqa: F401
+    from . import flight_queries, profile_queries  # noqa: F401
     return REGISTRY
