@@ -318,3 +318,13 @@ def matrix_pivot(df: DataFrame, row: str, col: str, levels, value=None) -> DataF
                      (F.col("id") + 1).cast("int")).alias(row))
     out = F.broadcast(axis).join(g, row, "left")
     return out.na.fill(0, subset=names)
+
+
+def top_groups_semi(df: DataFrame, col: str, n: int = 5) -> DataFrame:
+    """Rows of the n most frequent values of ``col`` (ties: smallest value).
+
+    The kept list has at most n rows (a proven bound), so the semi join is
+    a broadcast."""
+    top = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+             .orderBy(F.desc("_n"), col).limit(n).select(col))
+    return df.join(F.broadcast(top), col, "left_semi")

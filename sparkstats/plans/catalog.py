@@ -36,7 +36,8 @@ class Query:
             return None
         if not self.rounded:
             return self.sql
-        repl = ", ".join(f"{sql_half_even(c, d)} AS {c}" for c, d in self.rounded.items())
+        repl = ", ".join(f'{sql_half_even(chr(34) + c + chr(34), d)} AS "{c}"'
+                         for c, d in self.rounded.items())
         return f"SELECT * REPLACE ({repl}) FROM (\n{self.sql}\n) AS q"
 
 
@@ -59,5 +60,5 @@ def query(name: str, sql: str | None = None, rounded=None, digits: int = 6):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import flight_queries, profile_queries  # noqa: F401
+    from . import flight_queries, profile_queries, stat_queries  # noqa: F401
     return REGISTRY
