@@ -81,11 +81,10 @@ def log_delay_row(col="arr_delay") -> Column:
 def log_delay_global(df: DataFrame, col="arr_delay", out="log_arr_delay") -> DataFrame:
     """one table-wide shift max(0, -min(x)) + 1, then log(x + shift).
 
-    The shift is a one-row aggregate joined back by broadcast (size is one row).
+    The shift is fitted by one aggregate and inlined as a literal.
     """
-    shift = df.agg((F.greatest(F.lit(0.0), -F.min(col)) + 1).alias("_shift"))
-    return (df.crossJoin(F.broadcast(shift))
-              .withColumn(out, F.log(F.col(col) + F.col("_shift"))).drop("_shift"))
+    shift = df.agg((F.greatest(F.lit(0.0), -F.min(col)) + 1).alias("_shift")).first()[0]
+    return df.withColumn(out, F.log(F.col(col) + F.lit(shift).cast("double")))
 
 
 def null_skipping_sum(cols) -> Column:

@@ -28,24 +28,31 @@ def fill_constant(df: DataFrame, values: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in present.items()})
 
 
-def column_quantile_row(df: DataFrame, cols, prob: float, prefix: str) -> DataFrame:
-    """One row: ``<prefix><col>`` = exact quantile of each column."""
-    q = multi_quantiles(df, cols, [prob], ["_v"])
-    return q.agg(*[F.max(F.when(F.col("column") == c, F.col("_v"))).alias(prefix + c)
-                   for c in cols])
+def column_quantiles(df: DataFrame, cols, probs) -> dict:
+    """{column: [quantile per prob]}: exact, one bucketed pass for all columns.
+
+    The result is len(cols) x len(probs) numbers; it is fitted state (like a
+    fitted scaler) and is inlined into later plans as literals, so those plans
+    stay a single projection over one scan.
+    """
+    names = [f"_q{i}" for i in range(len(probs))]
+    rows = multi_quantiles(df, cols, probs, names).collect()
+    out = {c: [None] * len(probs) for c in cols}
+    for r in rows:
+        out[r["column"]] = [r[n] for n in names]
+    return out
 
 
 def fill_median(df: DataFrame, cols, strategy: str = "median") -> DataFrame:
     """C4: nulls to the column median (or 0 with strategy='zero').
 
-    The medians form a one-row table joined back by broadcast (size: one row).
+    The medians are fitted first (exact, distributed) and inlined as literals.
     """
     if strategy == "zero":
         return fill_constant(df, {c: 0.0 for c in cols})
-    med = column_quantile_row(df, cols, 0.5, "_med_")
-    out = df.crossJoin(F.broadcast(med))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col("_med_" + c)) for c in cols}
-                           ).drop(*["_med_" + c for c in cols])
+    med = column_quantiles(df, cols, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast("double"))
+                           for c in cols})
 
 
 def handle_missing(df: DataFrame) -> DataFrame:
@@ -60,18 +67,16 @@ def winsorize(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99) ->
     """Clip each column at its own exact percentiles; nulls stay null.
 
     All bounds come from one bucketed quantile pass over the stacked columns
-    and are joined back as one broadcast row.
+    and are inlined as literals (2 numbers per column).
     """
     cols = [c for c in cols if c in df.columns]
-    q = multi_quantiles(df, cols, [lower, upper], ["_lo", "_hi"])
-    b = q.agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{k}_{c}")
-                for c in cols for k in ("_lo", "_hi")])
-    out = df.crossJoin(F.broadcast(b))
+    b = column_quantiles(df, cols, [lower, upper])
     clipped = {c: F.when(F.col(c).isNotNull(),
-                         F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")),
-                                 F.col(f"_hi_{c}")))
+                         F.least(F.greatest(F.col(c).cast("double"),
+                                            F.lit(b[c][0]).cast("double")),
+                                 F.lit(b[c][1]).cast("double")))
                for c in cols}
-    return out.withColumns(clipped).drop(*[f"{k}_{c}" for c in cols for k in ("_lo", "_hi")])
+    return df.withColumns(clipped)
 
 
 def load_clean(flights: DataFrame, n: int | None = None, key: str = "flight_key",

@@ -59,23 +59,25 @@ def ordinal_encode(col, order, unknown: int = -1):
     return F.coalesce(m[c], F.lit(unknown))
 
 
-def scaler_table(df: DataFrame, cols, ddof: int = 0) -> DataFrame:
-    """E4/E5/E7 fitted scaler: one row of mean and std per column (std 0 -> 1)."""
+def scaler_table(df: DataFrame, cols, ddof: int = 0) -> dict:
+    """E4/E5/E7 fitted scaler: {column: (mean, std)} from one aggregate; a zero
+    or undefined std becomes 1. Small fitted state, inlined as literals."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
     aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"_m_{c}"), sd(c).alias(f"_s_{c}")]
-    t = df.agg(*aggs)
-    return t.withColumns({f"_s_{c}": F.when((F.col(f"_s_{c}") == 0) |
-                                            F.col(f"_s_{c}").isNull(), F.lit(1.0))
-                          .otherwise(F.col(f"_s_{c}")) for c in cols})
-
-
-def apply_scaler(df: DataFrame, table: DataFrame, cols) -> DataFrame:
-    """Apply a fitted one-row scaler (broadcast: one row)."""
-    out = df.crossJoin(F.broadcast(table))
-    return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")
-                            for c in cols}).drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
+    for i, c in enumerate(cols):
+        aggs += [F.avg(c).alias(f"_m{i}"), sd(c).alias(f"_s{i}")]
+    r = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(cols):
+        s = r[f"_s{i}"]
+        out[c] = (r[f"_m{i}"], 1.0 if s is None or s == 0 else s)
+    return out
+
+
+def apply_scaler(df: DataFrame, table: dict, cols) -> DataFrame:
+    """Apply a fitted scaler: (x - mean) / std with literal constants."""
+    return df.withColumns({c: (F.col(c) - F.lit(table[c][0]).cast("double"))
+                           / F.lit(table[c][1]).cast("double") for c in cols})
 
 
 def standard_scale(df: DataFrame, cols, ddof: int = 0) -> DataFrame:

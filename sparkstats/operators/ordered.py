@@ -113,8 +113,8 @@ def quantiles_long(df: DataFrame, col: str, probs, by=(), n_buckets=DEFAULT_BUCK
     ranked = prefix_sums(counts, by, col, ["_n"], n_buckets)
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     x = ranked.select(*by, col, "_n", "_n_before", "_n_total",
-                      F.posexplode(probs_arr).alias("prob_index", "prob"))
-    pos = (F.col("_n_total") - 1) * F.col("prob")
+                      F.posexplode(probs_arr).alias("_qi", "_qp"))
+    pos = (F.col("_n_total") - 1) * F.col("_qp")
     x = x.withColumn("_pos", pos).withColumns({
         "_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
 
@@ -122,12 +122,13 @@ def quantiles_long(df: DataFrame, col: str, probs, by=(), n_buckets=DEFAULT_BUCK
         return (F.col("_n_before") <= F.col(k)) & (F.col(k) < F.col("_n_before") + F.col("_n"))
 
     x = x.where(holds("_lo") | holds("_hi"))
-    agg = x.groupBy(*by, "prob_index", "prob").agg(
+    agg = x.groupBy(*by, "_qi", "_qp").agg(
         F.max(F.when(holds("_lo"), F.col(col))).cast("double").alias("_vlo"),
         F.max(F.when(holds("_hi"), F.col(col))).cast("double").alias("_vhi"),
         F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
     val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))
-    return agg.select(*by, "prob_index", "prob", val.alias(value_name))
+    return agg.select(*by, F.col("_qi").alias("prob_index"), F.col("_qp").alias("prob"),
+                      val.alias(value_name))
 
 
 def quantiles_wide(df: DataFrame, col: str, probs, names, by=(), n_buckets=DEFAULT_BUCKETS
