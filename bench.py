@@ -24,7 +24,7 @@ HEADLINE = [
     "derive_flights", "subset_sizes", "airport_summary_pct", "value_labels",
     "describe_numeric", "winsorize_flights", "load_clean", "corr_matrix",
     "anova_carrier", "histogram_dep_delay", "auc_dep_delay", "roc_dep_delay",
-    "classification_report_priority", "lda_fit_priority", "ols_carrier_effects",
+    "classification_report_priority", "lda_coefficients", "ols_carrier_effects",
     "kmeans_tiers", "durbin_watson", "shapiro_wilk_dep_delay",
 ]
 

@@ -80,7 +80,14 @@ def winsorize(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99) ->
 
 
 def load_clean(flights: DataFrame, n: int | None = None, key: str = "flight_key",
-               seed: int = 42) -> DataFrame:
-    """Optional exact sample, then C5, then C6 on the capped columns."""
+               seed: int = 42, materialize_input: bool = True) -> DataFrame:
+    """Optional exact sample, then C5, then C6 on the capped columns.
+
+    The input is written once to the shared checkpoint folder (four fitting
+    passes follow), unless the caller already passes a stored table.
+    """
+    from ..session import materialize
     base = sample_exact(flights, n, key, seed) if n is not None else flights
+    if materialize_input:
+        base = materialize(base, "load_clean_input")
     return winsorize(handle_missing(base), NUMERIC_COLS_TO_CAP)

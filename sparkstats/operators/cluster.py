@@ -29,13 +29,18 @@ def kmeans_tiers(df: DataFrame, features=CLUSTER_FEATURES, k: int = 4, n_init: i
     vec = VectorAssembler(inputCols=[f"_z_{c}" for c in feats], outputCol="_features"
                           ).transform(scaled).drop(*[f"_z_{c}" for c in feats])
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_cost = None, None
-    for i in range(n_init):
+
+    def run(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
                        predictionCol="_cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
+        return model.summary.trainingCost, i, model
+
+    # The starts are independent jobs over the same cached input: submit them
+    # concurrently so the scheduler interleaves their small per-iteration stages.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(n_init, 10)) as pool:
+        fits = list(pool.map(run, range(n_init)))
+    best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
     labelled = best.transform(vec).drop("_features")
     means = labelled.groupBy("_cluster").agg(F.avg(rank_by).alias("_m"))  # k rows
     tiers = rank_tiers(means, "_cluster", "_m", "cluster").drop("_m")

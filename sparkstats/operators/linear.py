@@ -32,7 +32,16 @@ class Gram:
 
 
 def gram(df: DataFrame, cols, weight: str | None = None) -> Gram:
-    """Centred sums of squares / cross products of ``cols`` over complete rows."""
+    """Centred sums of squares / cross products of ``cols`` over complete rows.
+
+    Pass 1: weighted sums (one aggregate). Pass 2: every partition forms its
+    centred X'WX with numpy on Arrow batches (``mapInPandas``) and emits one
+    row of p(p+1)/2 partial sums; the partials are summed by a grouped
+    aggregate on the cluster, so the driver receives one p x p matrix and the
+    per-row work stays vectorised whatever p is (no giant codegen method).
+    """
+    import pandas as pd
+
     cols = list(cols)
     cc = df.dropna(subset=cols + ([weight] if weight else []))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -41,14 +50,34 @@ def gram(df: DataFrame, cols, weight: str | None = None) -> Gram:
     sw = float(first["_sw"] or 0.0)
     if sw == 0:
         raise ValueError("no complete rows")
-    mean = np.array([float(first[f"_s{i}"]) / sw for i in range(len(cols))])
-    cen = [F.col(c) - F.lit(float(mean[i])) for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    second = cc.agg(*[F.sum(w * cen[i] * cen[j]).alias(f"_c{k}")
-                      for k, (i, j) in enumerate(pairs)]).first()
-    css = np.zeros((len(cols), len(cols)))
-    for k, (i, j) in enumerate(pairs):
-        css[i, j] = css[j, i] = float(second[f"_c{k}"])
+    p = len(cols)
+    mean = np.array([float(first[f"_s{i}"]) / sw for i in range(p)])
+    iu = np.triu_indices(p)
+    m = len(iu[0])
+    x = cc.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
+                  w.alias("w"))
+
+    def partials(batches):
+        acc = np.zeros(m)
+        seen = False
+        for b in batches:
+            if len(b) == 0:
+                continue
+            seen = True
+            xc = b[[f"x{i}" for i in range(p)]].to_numpy(dtype=float) - mean
+            ww = b["w"].to_numpy(dtype=float)
+            acc += ((xc * ww[:, None]).T @ xc)[iu]
+        if seen:
+            yield pd.DataFrame({"k": np.arange(m, dtype=np.int64), "v": acc})
+
+    parts = x.mapInPandas(partials, "k long, v double")
+    sums = parts.groupBy("k").agg(F.sum("v").alias("v")).collect()
+    css = np.zeros((p, p))
+    flat = np.zeros(m)
+    for r in sums:
+        flat[r["k"]] = r["v"]
+    css[iu] = flat
+    css = css + css.T - np.diag(np.diag(css))
     return Gram(cols, sw, int(first["_n"]), mean, css)
 
 

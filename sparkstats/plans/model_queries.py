@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import derive, labels
 from ..operators import clean, cluster, discrim, encode, evaluate, linear, logistic, stats
 from ..sources.flights import flights
-from ..session import checkpoint_path
+from ..session import checkpoint_path, materialize
 from .catalog import query
 from .flight_queries import _sql, derived
 from .stat_queries import PRIORITIES
@@ -21,7 +21,8 @@ REG_FEATURES = ["dep_delay", "distance", "carrier_delay", "weather_delay", "nas_
 def _carrier_design(spark, sf):
     """M6 design: cleaned flights, complete cases, carrier dummies (first level
     dropped), y = log(arr_delay + table-wide shift)."""
-    base = clean.load_clean(flights(spark, sf)).dropna(subset=[*OLS_FEATURES, "arr_delay"])
+    base = materialize(clean.load_clean(flights(spark, sf))
+                       .dropna(subset=[*OLS_FEATURES, "arr_delay"]), "ols_design")
     lv = encode.levels(base, "op_unique_carrier")
     dummies = {f"carrier_{v}": (F.col("op_unique_carrier") == v).cast("double") for v in lv[1:]}
     design = base.withColumns(dummies)
@@ -58,8 +59,9 @@ def q_ols_importance(spark, sf):
 
 
 def _reg_data(spark, sf):
-    d = derived(spark, sf)
-    return d.dropna(subset=["log_arr_delay", *REG_FEATURES])
+    d = derived(spark, sf).select("flight_key", "op_unique_carrier", "log_arr_delay",
+                                  *REG_FEATURES)
+    return materialize(d.dropna(subset=["log_arr_delay", *REG_FEATURES]), "reg_data")
 
 
 @query("reg_numeric")
@@ -114,7 +116,8 @@ MODEL_B = MODEL_A[:-1]
 
 
 def _nested_data(spark, sf):
-    return derived(spark, sf).select("flight_key", "arr_delay", *MODEL_A).dropna()
+    return materialize(derived(spark, sf).select("flight_key", "arr_delay", *MODEL_A).dropna(),
+                       "nested_data")
 
 
 @query("nested_ols")
@@ -197,8 +200,9 @@ def q_hl_fixed(spark, sf):
 
 
 def _lr_balanced(spark, sf):
-    return logistic.logistic_balanced(clean.load_clean(flights(spark, sf)), "cancelled",
-                                      "flight_key")
+    sub = clean.load_clean(flights(spark, sf)).select(
+        "flight_key", "cancelled", *logistic.LR_FEATURES)
+    return logistic.logistic_balanced(materialize(sub, "lr_input"), "cancelled", "flight_key")
 
 
 @query("logistic_balanced_report")
@@ -230,7 +234,8 @@ def q_lr_coef(spark, sf):
 
 
 def _lr_unpen(spark, sf):
-    return logistic.logistic_unpenalised(derived(spark, sf), "cancelled",
+    d = derived(spark, sf).select("flight_key", "cancelled", *logistic.LR_FEATURES_NO_LEAK)
+    return logistic.logistic_unpenalised(materialize(d, "lr_unpen_input"), "cancelled",
                                          logistic.LR_FEATURES_NO_LEAK, "flight_key")
 
 
@@ -273,15 +278,17 @@ def q_lr_score(spark, sf):
 def q_kmeans(spark, sf):
     """M1 + A19: best of 10 seeded k-means runs (k = 4) on scaled features,
     tiers ordered by mean arrival delay; per-tier means."""
-    c = cluster.kmeans_tiers(clean.load_clean(flights(spark, sf)))
+    sub = clean.load_clean(flights(spark, sf)).select(*cluster.CLUSTER_FEATURES)
+    c = cluster.kmeans_tiers(materialize(sub, "kmeans_input"))
     return cluster.cluster_summary(c)
 
 
 @query("kmeans_operated")
 def q_kmeans_op(spark, sf):
     """M2: operated flights only, sample-std scaling, one seeded run, 100 iterations."""
-    d = derived(spark, sf).where(F.col("cancelled") == 0)
-    c = cluster.kmeans_tiers(d, n_init=1, max_iter=100, ddof=1)
+    d = derived(spark, sf).where(F.col("cancelled") == 0).select(*cluster.CLUSTER_FEATURES)
+    c = cluster.kmeans_tiers(materialize(d, "kmeans_operated_input"), n_init=1, max_iter=100,
+                             ddof=1)
     return cluster.cluster_summary(c)
 
 
@@ -292,7 +299,7 @@ LDA_FEATURES = ["dep_delay", "arr_delay", "distance", "air_time"]
 
 def _lda_data(spark, sf):
     d = flights(spark, sf).select("flight_key", "o_orderpriority", *LDA_FEATURES).dropna()
-    return encode.standard_scale(d, LDA_FEATURES, ddof=0)
+    return encode.standard_scale(materialize(d, "lda_input"), LDA_FEATURES, ddof=0)
 
 
 def _lda(spark, sf):
