@@ -457,3 +457,32 @@ CUTOFFS = [0, 15, 30, 60, 90, 120]
 def q_class_table(spark, sf):
     """V8 at fixed cut-offs of the score."""
     return evaluate.class_table(flights(spark, sf), "cancelled", "dep_delay", CUTOFFS)
+
+
+@query("local_trend_distance", _sql("""
+  , xs AS (SELECT CAST(distance AS DOUBLE) AS x, CAST(arr_delay AS DOUBLE) AS y FROM flights
+           WHERE distance IS NOT NULL AND arr_delay IS NOT NULL),
+  r AS (SELECT min(x) AS lo, max(x) AS hi FROM xs),
+  p AS (SELECT lo, (hi - lo) / 1000 AS width, 0.3 * (hi - lo) AS h, (hi - lo) / 99 AS step
+        FROM r),
+  b AS (SELECT least(floor((x - lo) / width), 999) AS bin, count(*) AS n, sum(x) AS sx,
+               sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM xs, p GROUP BY 1),
+  e AS (SELECT CAST(k AS INTEGER) AS k, b.*, lo + (bin + 0.5) * width AS c, h, lo, step
+        FROM b, p, range(0, 100) t(k)
+        WHERE abs(lo + k * step - (lo + (bin + 0.5) * width)) < h),
+  s AS (SELECT k, any_value(lo + k * step) AS gx,
+               sum(pow(1 - pow(abs(lo + k * step - c) / h, 3), 3) * n) AS w_n,
+               sum(pow(1 - pow(abs(lo + k * step - c) / h, 3), 3) * sx) AS w_sx,
+               sum(pow(1 - pow(abs(lo + k * step - c) / h, 3), 3) * sy) AS w_sy,
+               sum(pow(1 - pow(abs(lo + k * step - c) / h, 3), 3) * sxx) AS w_sxx,
+               sum(pow(1 - pow(abs(lo + k * step - c) / h, 3), 3) * sxy) AS w_sxy
+        FROM e GROUP BY k)
+  SELECT k AS point, gx AS x,
+         CASE WHEN w_n * w_sxx - w_sx * w_sx <> 0 THEN
+           (w_sy - ((w_n * w_sxy - w_sx * w_sy) / (w_n * w_sxx - w_sx * w_sx)) * w_sx) / w_n
+           + ((w_n * w_sxy - w_sx * w_sy) / (w_n * w_sxx - w_sx * w_sx)) * gx
+         ELSE w_sy / w_n END AS y_hat
+  FROM s WHERE w_n > 0"""), rounded=["x", "y_hat"], digits=6)
+def q_local_trend(spark, sf):
+    """Binned tricube local line of arr_delay on distance, 100 points."""
+    return stats.local_trend(flights(spark, sf), "distance", "arr_delay", 100, 0.3, 1000)
