@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -18,17 +17,25 @@ CLUSTER_FEATURES = ["dep_delay", "arr_delay", "distance", "air_time"]
 
 def kmeans_tiers(df: DataFrame, features=CLUSTER_FEATURES, k: int = 4, n_init: int = 10,
                  seed: int = 42, max_iter: int = 300, ddof: int = 0,
-                 rank_by: str = "arr_delay") -> DataFrame:
+                 rank_by: str = "arr_delay", parallel: int = 4) -> DataFrame:
     """M1 / M2: complete cases, standardise, best of ``n_init`` seeded k-means
     runs (least within-cluster cost), then relabel clusters 0..k-1 by the mean
-    of ``rank_by`` (0 = lowest). Raw feature values are kept on each row."""
+    of ``rank_by`` (0 = lowest). Raw feature values are kept on each row.
+
+    The input should be a stored table (see ``session.materialize``). It is not
+    cached here: MLlib then persists its own vector RDD per fit, which avoids
+    re-decoding cached rows on every iteration. ``parallel`` starts run at
+    once (wall time versus one feature copy in memory per running start).
+    """
     feats = list(features)
     sub = df.dropna(subset=feats)
     scaled = standard_scale(sub.select(*[F.col(c).alias(f"_z_{c}") for c in feats],
                                        *sub.columns), [f"_z_{c}" for c in feats], ddof)
     vec = VectorAssembler(inputCols=[f"_z_{c}" for c in feats], outputCol="_features"
                           ).transform(scaled).drop(*[f"_z_{c}" for c in feats])
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    par = vec.sparkSession.sparkContext.defaultParallelism
+    if vec.rdd.getNumPartitions() < par:
+        vec = vec.repartition(par)
 
     def run(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
@@ -38,7 +45,7 @@ def kmeans_tiers(df: DataFrame, features=CLUSTER_FEATURES, k: int = 4, n_init: i
     # The starts are independent jobs over the same cached input: submit them
     # concurrently so the scheduler interleaves their small per-iteration stages.
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=min(n_init, 10)) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel))) as pool:
         fits = list(pool.map(run, range(n_init)))
     best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
     labelled = best.transform(vec).drop("_features")
