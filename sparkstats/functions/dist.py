@@ -1,94 +1,99 @@
 """Distribution functions.
 
 Driver scalars (normal, t, F, chi-square tails from the regularised incomplete
-beta / gamma functions by continued fractions, as in Numerical Recipes) for
-the handful of test statistics that reach the driver, and Spark Column forms
-of the normal CDF and its inverse so per-row work stays inside codegen.
+beta / gamma functions, by the continued fractions and series of the NIST
+Digital Library of Mathematical Functions, 8.7.1, 8.9.2 and 8.17.22) for the
+handful of test statistics that reach the driver, and Spark Column forms of the
+normal CDF, its logarithm and its inverse so per-row work stays inside codegen.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPS = 3e-16
-_TINY = 1e-300
+_TOLERANCE = 4e-16
+_DEEPEST = 1 << 23
 
 
 # ---------------------------------------------------------------------------
 # Driver scalars
 # ---------------------------------------------------------------------------
 
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+def _settled(fraction: Callable[[int], float]) -> float:
+    """Limit of a continued fraction given by its truncations: the depth doubles
+    until two values agree; a fraction that never settles raises."""
+    depth, last = 32, math.nan
+    while depth <= _DEEPEST:
+        value = fraction(depth)
+        if abs(value - last) <= _TOLERANCE * abs(value):
+            return value
+        last, depth = value, 2 * depth
+    raise ArithmeticError("the continued fraction did not settle")
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """ln(Gamma(a + b) / Gamma(a)) for b > 0, without cancellation for large a."""
+    if a < 1e3:
+        return math.lgamma(a + b) - math.lgamma(a)
+
+    def correction(z: float) -> float:  # Stirling's series after its first terms
+        return 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
+
+    return ((a - 0.5) * math.log1p(b / a) - b + b * math.log(a + b)
+            + correction(a + b) - correction(a))
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where the caller
+    knows it more exactly."""
+    y = 1.0 - x if y is None else y
     if x <= 0:
         return 0.0
-    if x >= 1:
+    if y <= 0:
         return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - betainc(b, a, y, x)
+    large, small = max(a, b), min(a, b)
+    log_beta = math.lgamma(small) - _log_gamma_ratio(large, small)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+
+    def fraction(depth: int) -> float:
+        value = 0.0
+        for k in range(depth, 0, -1):
+            m = k // 2
+            top = m * (b - m) if k % 2 == 0 else -(a + m) * (a + b + m)
+            value = top * x / ((a + k - 1) * (a + k)) / (1.0 + value)
+        return 1.0 / (1.0 + value)
+
+    return math.exp(a * log_x + b * log_y - log_beta) / a * _settled(fraction)
 
 
 def gammainc_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x <= 0:
         return 1.0
-    gln = math.lgamma(a)
-    if x < a + 1:
-        ap, s, delta = a, 1.0 / a, 1.0 / a
-        for _ in range(100000):
-            ap += 1
-            delta *= x / ap
-            s += delta
-            if abs(delta) < abs(s) * _EPS:
-                break
-        return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
-    b = x + 1 - a
-    c, d = 1.0 / _TINY, 1.0 / b
-    h = d
-    for i in range(1, 100000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = _TINY if abs(d) < _TINY else d
-        c = b + an / c
-        c = _TINY if abs(c) < _TINY else c
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - gln) * h
+    log_front = a * math.log(x) - x - math.lgamma(a)
+    if x < a + 1:  # the lower function's power series
+        term = total = 1.0 / a
+        k = 0
+        while term > total * _TOLERANCE:
+            k += 1
+            term *= x / (a + k)
+            total += term
+        return max(0.0, 1.0 - total * math.exp(log_front))
+
+    def fraction(depth: int) -> float:
+        value = x
+        for k in range(depth, 0, -1):
+            value = x + (k - a) / (1.0 + k / value)
+        return 1.0 / value
+
+    return math.exp(log_front) * _settled(fraction)
 
 
 def norm_cdf(z: float) -> float:
@@ -108,14 +113,14 @@ def t_sf2(t: float, df: float) -> float:
     """Two-sided p-value of a t statistic."""
     if df <= 0 or math.isnan(t):
         return float("nan")
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+    return betainc(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
     """Upper tail of the F distribution."""
     if f <= 0:
         return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def chi2_sf(x: float, k: float) -> float:
@@ -202,3 +207,16 @@ def norm_cdf_col(z) -> Column:
     large = e / b / 2.506628274631
     tail = F.when(x > 37, F.lit(0.0)).when(x < 7.07106781186547, small).otherwise(large)
     return F.when(z > 0, 1.0 - tail).otherwise(tail)
+
+
+def norm_log_cdf_col(z) -> Column:
+    """ln of the standard normal CDF as a Spark expression, to full precision in
+    both tails: below -30 by the asymptotic series of Mills' ratio, above 0 as
+    log1p of the other tail. ``norm_log_cdf_col(-z)`` is the log survival."""
+    z = F.col(z) if isinstance(z, str) else z
+    r = 1.0 / (z * z)
+    mills = F.lit(0.0)
+    for c in (-2027025.0, 135135.0, -10395.0, 945.0, -105.0, 15.0, -3.0, 1.0):  # double factorials of odd numbers, signs in turn
+        mills = (mills + c) * r
+    far = -z * z / 2.0 - F.log(-z) - 0.5 * math.log(2 * math.pi) + F.log1p(-mills)
+    return F.when(z < -30.0, far).when(z > 0.0, F.log1p(-norm_cdf_col(-z))).otherwise(F.log(norm_cdf_col(z)))

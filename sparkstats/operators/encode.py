@@ -9,13 +9,21 @@ from .ordered import prefix_sums
 from .relate import small_side
 
 
-def levels(df: DataFrame, col: str) -> list:
+#: A one-hot encoding has a column per level; beyond this many it is refused.
+MAX_LEVELS = 2000
+
+
+def levels(df: DataFrame, col: str, most: int = MAX_LEVELS) -> list:
     """Sorted distinct non-null levels: a schema decision, so it is collected.
 
-    Only for the one-hot case, whose column count equals this list anyway.
+    Only for the one-hot case, whose column count equals this list anyway; no more
+    than ``most`` + 1 of them are ever fetched.
     """
-    return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
-            .orderBy(col).collect()]
+    found = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
+             .limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} levels: label_encode fits it, one_hot does not")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, cols, drop_first: bool = True) -> DataFrame:

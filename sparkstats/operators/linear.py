@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .ordered import bucket_bounds, bucket_of
+from .ordered import in_order
 
 
 @dataclass
@@ -274,36 +274,34 @@ def breusch_pagan(df: DataFrame, res: OLSResult, y: str) -> dict:
     return {"bp_stat": float(lm), "df": len(xs), "p_value": float(dist.chi2_sf(lm, len(xs)))}
 
 
-def with_neighbors(df: DataFrame, key: str, cols, n_buckets: int = 64) -> DataFrame:
-    """Add ``prev_<c>`` / ``next_<c>`` (the rows before / after in ``key`` order).
+def with_neighbors(df: DataFrame, key: str, cols) -> DataFrame:
+    """Add ``prev_<c>`` / ``next_<c>``: the rows before / after in the order of
+    ``key`` and then of all other columns, so repeated keys have one order
+    whatever the partitioning of the input.
 
-    No single-partition window: lag / lead run inside monotone key buckets;
-    a bucket's first and last rows take their outside neighbour from the
-    edge table (first and last row of every bucket: at most 2 x n_buckets
-    values, broadcast).
+    No single-partition window over rows: lag / lead run inside the partitions
+    of a stored range sort; a partition's first and last rows take their outside
+    neighbour from the edge table (one row per partition).
     """
     from pyspark.sql import Window
     cols = list(cols)
-    bounds = bucket_bounds(df, key, n_buckets)
-    b = df.withColumn("_bk", bucket_of(key, bounds))
-    w = Window.partitionBy("_bk").orderBy(key)
-    b = b.withColumns({"_rn": F.row_number().over(w),
-                       "_cnt": F.count(F.lit(1)).over(Window.partitionBy("_bk")),
-                       **{f"_lag_{c}": F.lag(c).over(w) for c in cols},
-                       **{f"_lead_{c}": F.lead(c).over(w) for c in cols}})
-    edges = df.withColumn("_bk", bucket_of(key, bounds)).groupBy("_bk").agg(
-        F.min_by(F.struct(*cols), F.col(key)).alias("_first"),
-        F.max_by(F.struct(*cols), F.col(key)).alias("_last"))
-    we = Window.orderBy("_bk")  # one row per bucket: at most n_buckets rows
-    edges = edges.select("_bk", F.lag("_last").over(we).alias("_pl"),
+    b = in_order(df, [key, *[c for c in df.columns if c != key]], "neighbors")
+    w = Window.partitionBy("_part").orderBy("_seq")
+    edges = b.groupBy("_part").agg(
+        F.min("_seq").alias("_lo"), F.max("_seq").alias("_hi"),
+        F.min_by(F.struct(*cols), F.col("_seq")).alias("_first"),
+        F.max_by(F.struct(*cols), F.col("_seq")).alias("_last"))
+    we = Window.orderBy("_part")  # one row per partition
+    edges = edges.select("_part", "_lo", "_hi", F.lag("_last").over(we).alias("_pl"),
                          F.lead("_first").over(we).alias("_nf"))
-    j = b.join(F.broadcast(edges), "_bk")
-    out = j.withColumns({
-        **{f"prev_{c}": F.when(F.col("_rn") == 1, F.col(f"_pl.{c}")).otherwise(F.col(f"_lag_{c}"))
+    b = b.withColumns({**{f"_lag_{c}": F.lag(c).over(w) for c in cols},
+                       **{f"_lead_{c}": F.lead(c).over(w) for c in cols}})
+    out = b.join(edges, "_part").withColumns({
+        **{f"prev_{c}": F.when(F.col("_seq") == F.col("_lo"), F.col(f"_pl.{c}")).otherwise(F.col(f"_lag_{c}"))
            for c in cols},
-        **{f"next_{c}": F.when(F.col("_rn") == F.col("_cnt"), F.col(f"_nf.{c}"))
+        **{f"next_{c}": F.when(F.col("_seq") == F.col("_hi"), F.col(f"_nf.{c}"))
            .otherwise(F.col(f"_lead_{c}")) for c in cols}})
-    return out.drop("_bk", "_rn", "_cnt", "_pl", "_nf", *[f"_lag_{c}" for c in cols],
+    return out.drop("_part", "_seq", "_lo", "_hi", "_pl", "_nf", *[f"_lag_{c}" for c in cols],
                     *[f"_lead_{c}" for c in cols])
 
 
@@ -365,3 +363,42 @@ def hosmer_lemeshow(df: DataFrame, label: str, prob: str, groups: int = 10) -> D
     term = (F.col("observed") - F.col("expected")) ** 2 / (
         F.col("expected") * (1 - F.col("expected") / F.col("n")))
     return g.withColumn("chi2_term", term)
+
+
+def hosmer_lemeshow_test(df: DataFrame, label: str, prob: str, groups: int = 10) -> DataFrame:
+    """T20 total: chi-square over the groups, its degrees of freedom and p."""
+    g = hosmer_lemeshow(df, label, prob, groups).agg(
+        F.sum("chi2_term").alias("chi2"), (F.count(F.lit(1)) - 2).cast("int").alias("df")).first()
+    chi2, k = g["chi2"], g["df"]
+    p = dist.chi2_sf(chi2, k) if chi2 is not None and k > 0 else None
+    return df.sparkSession.createDataFrame([(chi2, k, p)], "chi2 double, df int, p_value double")
+
+
+def standardized_residuals(df: DataFrame, res: OLSResult, y: str) -> DataFrame:
+    """``fitted``, ``res`` and ``std_res`` (by its own standard error, which
+    the leverage shrinks) of the complete rows."""
+    cc = df.dropna(subset=[y, *res.terms[1:]])
+    cc = cc.withColumns({"fitted": linear_predictor(res), "_h": quad_form(res)})
+    cc = cc.withColumn("res", F.col(y) - F.col("fitted"))
+    return cc.withColumn("std_res", F.col("res") / (float(res.sigma) * F.sqrt(1 - F.col("_h")))).drop("_h")
+
+
+def qq_points(df: DataFrame, col: str, probs) -> DataFrame:
+    """Sample quantiles of ``col`` against normal ones at ``probs``."""
+    from .ordered import quantiles_long
+    q = quantiles_long(df, col, probs)
+    theory = F.array(*[F.lit(dist.norm_ppf(float(p))) for p in probs])
+    return q.select("prob", F.get(theory, F.col("prob_index")).alias("theoretical"), F.col("value").alias("sample"))
+
+
+def scale_location(df: DataFrame, bins: int = 40) -> DataFrame:
+    """By bins of the fitted value, its mean and the mean root of the
+    absolute standardised residual."""
+    span = df.agg(F.min("fitted").alias("lo"), F.max("fitted").alias("hi")).first()
+    if span["lo"] is None:
+        width = 1.0
+    else:
+        width = (span["hi"] - span["lo"]) / bins or 1.0
+    at = F.least(F.floor((F.col("fitted") - F.lit(span["lo"])) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    return df.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("fitted").alias("fitted"),
+                                           F.avg(F.sqrt(F.abs("std_res"))).alias("root_abs_std_res"))

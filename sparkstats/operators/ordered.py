@@ -4,113 +4,100 @@ A global ``Window.orderBy`` (no partition) or an exact ``percentile`` over one
 big group pulls every value into one task. Everything here instead:
 
 1. collapses duplicates first (``groupBy(by, value).count()``, map-side combine),
-2. cuts the value range into monotone buckets at fixed bounds taken from a
-   bounded sketch (``percentile_approx``) or a bounded sample, so the bucket
-   of a row is a deterministic function of its value and a re-run after a
-   lost executor lands every row in the same bucket,
-3. runs a running sum inside each (group, bucket) and adds per-bucket offsets
-   computed on the small (group, bucket) totals table.
-
-The result is exact (the sketch only balances work, it never decides a value).
+2. range-partitions the distinct (group, value) rows by group and value, sorts
+   inside the partitions and stores the result, so partitions follow the data
+   (one group or a narrow column cannot crowd into one bucket of another's),
+   their number follows the session's shuffle settings and AQE, and a lost
+   executor costs a file read,
+3. runs a running sum inside each (group, partition) and adds offsets computed
+   on the small (group, partition) totals table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_BUCKETS = 64
-_SAMPLE_PER_BUCKET = 20
-
-
-def _numeric(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.NumericType)
-
-
-def bucket_bounds(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> list:
-    """Up to n_buckets - 1 sorted cut points of ``col`` (a bounded list)."""
-    if n_buckets <= 1:
-        return []
-    if _numeric(df, col):
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)
-                     .alias("b")).first()
-        cuts = row.b if row is not None and row.b is not None else []
-    else:
-        n = df.where(F.col(col).isNotNull()).count()
-        if n == 0:
-            return []
-        frac = min(1.0, _SAMPLE_PER_BUCKET * n_buckets / n)
-        sample = sorted(r[0] for r in df.where(F.col(col).isNotNull())
-                        .sample(fraction=frac, seed=17).select(col).collect())
-        if not sample:
-            return []
-        step = len(sample) / n_buckets
-        cuts = [sample[min(len(sample) - 1, int(i * step))] for i in range(1, n_buckets)]
-    return sorted(set(cuts))
-
-
-def bucket_of(col, bounds: list) -> Column:
-    """Index i with bounds[i-1] < v <= bounds[i]: a balanced tree of comparisons."""
-    c = F.col(col) if isinstance(col, str) else col
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c <= F.lit(bounds[mid]), search(lo, mid)).otherwise(
-            search(mid + 1, hi))
-
-    return search(0, len(bounds))
-
-
-def prefix_sums(rows: DataFrame, by: list, value: str, weights: list,
-                n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+
+from ..session import materialize
+
+
+def in_order(rows: DataFrame, keys: list, tag: str) -> DataFrame:
+    """``rows`` range-partitioned and sorted by ``keys`` and stored, with ``_seq``
+    (ascending in that order) and ``_part`` (its partition). Rows that tie in all
+    keys must be interchangeable."""
+    return materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .withColumn("_seq", F.monotonically_increasing_id())
+                       .withColumn("_part", F.shiftright("_seq", 33)), tag)
+
+
+def prefix_sums(rows: DataFrame, by: list, value: str, weights: list) -> DataFrame:
     """For rows unique on (by, value): add ``<w>_before`` (sum of w over smaller
     values in the same group) and ``<w>_total`` (group sum) for each weight w."""
     by = list(by)
-    bounds = bucket_bounds(rows, value, n_buckets)
-    b = rows.withColumn("_bk", bucket_of(value, bounds))
-    w_in = (Window.partitionBy(*by, "_bk").orderBy(value)
+    b = in_order(rows, [*by, value], "ordered")
+    w_in = (Window.partitionBy(*by, "_part").orderBy("_seq")
             .rowsBetween(Window.unboundedPreceding, -1))
     b = b.withColumns({f"_{w}_in": F.coalesce(F.sum(w).over(w_in), F.lit(0))
                        for w in weights})
-    totals = b.groupBy(*by, "_bk").agg(*[F.sum(w).alias(f"_{w}_bk") for w in weights])
-    w_bk = Window.partitionBy(*by).orderBy("_bk")
+    # at most one row per partition and group that it holds
+    totals = b.groupBy(*by, "_part").agg(*[F.sum(w).alias(f"_{w}_pt") for w in weights])
+    w_pt = Window.partitionBy(*by).orderBy("_part")
     grp = Window.partitionBy(*by)
     cols = {}
     for w in weights:
         cols[f"_{w}_off"] = F.coalesce(
-            F.sum(f"_{w}_bk").over(w_bk.rowsBetween(Window.unboundedPreceding, -1)),
+            F.sum(f"_{w}_pt").over(w_pt.rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0))
-        cols[f"{w}_total"] = F.sum(f"_{w}_bk").over(grp)
-    totals = totals.withColumns(cols).drop(*[f"_{w}_bk" for w in weights])
-    if not by:
-        # one row per bucket: at most n_buckets rows, a proven bound.
-        totals = F.broadcast(totals)
-    out = b.join(totals, [*by, "_bk"])
+        cols[f"{w}_total"] = F.sum(f"_{w}_pt").over(grp)
+    totals = totals.withColumns(cols).drop(*[f"_{w}_pt" for w in weights])
+    out = b.join(totals, [*by, "_part"])
     out = out.withColumns({f"{w}_before": F.col(f"_{w}_off") + F.col(f"_{w}_in")
                            for w in weights})
-    return out.drop("_bk", *[f"_{w}_in" for w in weights],
+    return out.drop("_seq", "_part", *[f"_{w}_in" for w in weights],
                     *[f"_{w}_off" for w in weights])
 
 
+def row_positions(df: DataFrame, by: list, order: list, tag: str = "positions") -> DataFrame:
+    """``df`` with ``_pos``, a row's 1-based place in its group by ``order`` and
+    then all other columns, and ``_total``, the group's rows. Stored once, so the
+    order is not computed again by later passes."""
+    by = list(by)
+    rest = [c for c in df.columns if c not in {*by, *order}]
+    b = in_order(df, [*by, *order, *rest], tag)
+    counts = b.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    grp = Window.partitionBy(*by)
+    counts = counts.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(grp.orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)),
+        "_total": F.sum("_n").over(grp)}).withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_part"]})
+    on = F.col("_part") == F.col("_by__part")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return (b.join(counts, on)
+            .withColumn("_pos", F.col("_before") + F.col("_seq") - F.col("_first") + 1)
+            .drop("_seq", "_part", "_n", "_first", "_before", *[f"_by_{c}" for c in [*by, "_part"]]))
+
+
 def value_counts(df: DataFrame, col: str, by=()) -> DataFrame:
     """Distinct (by, value) with their row count ``_n``; nulls dropped."""
     return (df.where(F.col(col).isNotNull()).groupBy(*by, col)
               .agg(F.count(F.lit(1)).alias("_n")))
 
 
-def quantiles_long(df: DataFrame, col: str, probs, by=(), n_buckets=DEFAULT_BUCKETS,
+def quantiles_long(df: DataFrame, col: str, probs, by=(),
                    value_name: str = "value") -> DataFrame:
     """Exact linearly interpolated quantiles (pandas / R type 7 / quantile_cont).
 
     Returns (by..., prob_index, prob, value).
     """
+    return quantiles_from_counts(value_counts(df, col, by), col, probs, by, value_name)
+
+
+def quantiles_from_counts(counts: DataFrame, col: str, probs, by=(),
+                          value_name: str = "value") -> DataFrame:
+    """``quantiles_long`` of a table of distinct (by, value) with their count ``_n``."""
     by = list(by)
-    counts = value_counts(df, col, by)
-    ranked = prefix_sums(counts, by, col, ["_n"], n_buckets)
+    ranked = prefix_sums(counts, by, col, ["_n"])
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     x = ranked.select(*by, col, "_n", "_n_before", "_n_total",
                       F.posexplode(probs_arr).alias("_qi", "_qp"))
@@ -131,10 +118,9 @@ def quantiles_long(df: DataFrame, col: str, probs, by=(), n_buckets=DEFAULT_BUCK
                       val.alias(value_name))
 
 
-def quantiles_wide(df: DataFrame, col: str, probs, names, by=(), n_buckets=DEFAULT_BUCKETS
-                   ) -> DataFrame:
+def quantiles_wide(df: DataFrame, col: str, probs, names, by=()) -> DataFrame:
     """Exact quantiles as one column per probability: (by..., names...)."""
-    long = quantiles_long(df, col, probs, by, n_buckets)
+    long = quantiles_long(df, col, probs, by)
     return long.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob_index") == i, F.col("value"))).alias(n)
         for i, n in enumerate(names)])
@@ -147,20 +133,37 @@ def stacked(df: DataFrame, cols, name="column", value="value", by=()) -> DataFra
         for c in cols])).alias("_kv")).select(*by, f"_kv.{name}", f"_kv.{value}")
 
 
-def multi_quantiles(df: DataFrame, cols, probs, names, by=(), n_buckets=DEFAULT_BUCKETS
-                    ) -> DataFrame:
+def multi_quantiles(df: DataFrame, cols, probs, names, by=()) -> DataFrame:
     """Quantiles of several columns at once: (by..., column, names...)."""
     long = stacked(df, cols, by=by)
-    return quantiles_wide(long, "value", probs, names, by=[*by, "column"],
-                          n_buckets=n_buckets)
+    return quantiles_wide(long, "value", probs, names, by=[*by, "column"])
 
 
-def row_ranks(df: DataFrame, col: str, by=(), n_buckets=DEFAULT_BUCKETS) -> DataFrame:
+def row_ranks(df: DataFrame, col: str, by=()) -> DataFrame:
     """Distinct values with the 1-based rank span [first_rank, last_rank] they
     occupy in the sorted column, and the group size: (by..., col, _n, first_rank,
     last_rank, n)."""
     counts = value_counts(df, col, by)
-    r = prefix_sums(counts, list(by), col, ["_n"], n_buckets)
+    r = prefix_sums(counts, list(by), col, ["_n"])
     return r.select(*by, col, "_n", (F.col("_n_before") + 1).alias("first_rank"),
                     (F.col("_n_before") + F.col("_n")).alias("last_rank"),
                     F.col("_n_total").alias("n"))
+
+
+def quantiles_averaged(df: DataFrame, col: str, percents, names, by=()) -> DataFrame:
+    """Percentiles by the averaged empirical distribution (definition 5): with
+    n * p / 100 = j + g, the mean of the j-th and the next value where g = 0, else
+    the value after the j-th. ``percents`` are whole numbers, so g is exact."""
+    by = list(by)
+    r = row_ranks(df, col, by)
+    cols = []
+    for p, name in zip(percents, names):
+        at = F.col("n") * int(p)
+        j, whole = F.floor(at / 100), at % 100 == 0
+
+        def value(k):
+            return F.max(F.when((F.col("first_rank") <= k) & (k <= F.col("last_rank")), F.col(col)))
+
+        low, high = value(F.greatest(F.when(whole, j).otherwise(j + 1), F.lit(1))), value(F.least(j + 1, F.col("n")))
+        cols.append(((low + high) / 2).alias(name))
+    return r.groupBy(*by).agg(*cols)

@@ -18,16 +18,18 @@ from ..functions import derive
 from ..functions.rounding import half_even
 from ..sources.flights import CAUSES
 
-# Dimension tables up to this many rows are broadcast after a row-count check.
+# Dimension tables up to this size are broadcast after a check of rows and bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a
-    LIMIT count, which stops early); otherwise leave the join strategy to
-    Catalyst / AQE (sort-merge with skew splitting)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows of together at most
+    ``max_bytes`` (their length as text, which a LIMIT on the rows bounds); otherwise
+    leave the join strategy to Catalyst / AQE (sort-merge with skew splitting)."""
+    size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (b or 0) <= max_bytes else df
 
 
 def dedupe_first(df: DataFrame, key: str, order=None) -> DataFrame:
@@ -101,15 +103,19 @@ def delay_by_carrier(df: DataFrame) -> DataFrame:
     return g.orderBy(F.desc("avg_arr_delay"), "carrier")
 
 
-def delay_by_origin(df: DataFrame, top_n: int = 20) -> DataFrame:
-    """A2: busiest ``top_n`` origins."""
+def delay_by_origin_all(df: DataFrame) -> DataFrame:
+    """A2 before its cut: every origin."""
     g = df.groupBy("origin").agg(
         F.count("arr_delay").alias("flight_count"),
         F.avg("arr_delay").alias("avg_arr_delay"),
         F.avg("dep_delay").alias("avg_dep_delay"),
         F.avg("cancelled").alias("cancellation_rate"))
-    g = _round_all(g, ["avg_arr_delay", "avg_dep_delay", "cancellation_rate"], 2)
-    return g.orderBy(F.desc("flight_count"), "origin").limit(top_n)
+    return _round_all(g, ["avg_arr_delay", "avg_dep_delay", "cancellation_rate"], 2)
+
+
+def delay_by_origin(df: DataFrame, top_n: int = 20) -> DataFrame:
+    """A2: busiest ``top_n`` origins."""
+    return delay_by_origin_all(df).orderBy(F.desc("flight_count"), "origin").limit(top_n)
 
 
 def delay_by_month(df: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
 """Exact-size reproducible sampling and stratified splitting (SA*).
 
-Order of a row = md5('<seed>:<key>') then key. The n smallest rows form the
-sample. A global ``orderBy().limit(n)`` would merge partitions x n rows in one
-task, so instead: a uniform 60-bit prefix of the hash pre-filters to about
-n + 6 standard deviations candidates (one count), and the exact cut among the
-candidates uses the bucketed prefix sums of ``ordered`` - no single task sees
-more than one bucket.
+Order of a row = md5('<seed>:<key>'), then key, then all other columns, so rows
+of a repeated key are cut one by one. The n smallest rows form the sample. A
+global ``orderBy().limit(n)`` would merge partitions x n rows in one task, so
+instead: a uniform 60-bit prefix of the hash pre-filters to about n + 6 standard
+deviations candidates (one count), and ``ordered.row_positions`` numbers those.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import prefix_sums
+from ..session import materialize
+from .ordered import row_positions
 
 _SPAN = float(2 ** 60)
 
@@ -31,14 +31,6 @@ def hash_unit(key, seed: int = 42) -> Column:
     return F.conv(F.substring(hash_order(key, seed), 1, 15), 16, 10).cast("double")
 
 
-def _cut(df: DataFrame, n_keep, by=()) -> DataFrame:
-    """Rows of ``df`` (with _h) whose rank by (_h, key) within ``by`` is < n_keep."""
-    counts = df.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, list(by), "_h", ["_n"]).select(
-        *by, "_h", "_n_before", "_n_total")
-    return df.join(ranked, [*by, "_h"]).where(F.col("_n_before") < n_keep)
-
-
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """SA1: exactly min(n, rows) rows, reproducible for a given seed and key."""
     total = df.count()
@@ -49,24 +41,27 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     while True:
         cand = (df.withColumn("_u", hash_unit(key, seed))
                   .where(F.col("_u") < F.lit(frac * _SPAN))
-                  .withColumn("_h", F.concat(hash_order(key, seed), F.lit(":"),
-                                             F.col(key).cast("string"))))
+                  .withColumn("_h", hash_order(key, seed)))
         if frac >= 1.0 or cand.count() >= n:
             break
         frac = min(1.0, frac * 2)
-    return _cut(cand, F.lit(n)).drop("_u", "_h", "_n_before", "_n_total")
+    placed = row_positions(cand.drop("_u"), [], ["_h", key], "sample")
+    return placed.where(F.col("_pos") <= n).drop("_h", "_pos", "_total")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.8,
                      seed: int = 42) -> DataFrame:
     """SA2: adds ``is_train``: per class, the first round(frac * n_class) rows in
     hash order are train (floor(x + 0.5)), so every class keeps its ratio."""
-    h = df.withColumn("_h", F.concat(hash_order(key, seed), F.lit(":"),
-                                     F.col(key).cast("string")))
-    counts = h.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, [label], "_h", ["_n"]).select(
-        label, "_h", "_n_before", "_n_total")
-    out = h.join(ranked, [label, "_h"])
-    n_train = F.floor(F.col("_n_total") * train_frac + 0.5)
-    return out.withColumn("is_train", (F.col("_n_before") < n_train).cast("int")).drop(
-        "_h", "_n_before", "_n_total")
+    h = df.withColumn("_h", hash_order(key, seed))
+    placed = row_positions(h, [label], ["_h", key], "split")
+    n_train = F.floor(F.col("_total") * train_frac + 0.5)
+    split = placed.withColumn("is_train", (F.col("_pos") <= n_train).cast("int"))
+    return materialize(split.drop("_h", "_pos", "_total"), "split")
+
+
+def hash_split(df: DataFrame, key: str, train_frac: float = 0.8, seed: int = 42) -> DataFrame:
+    """SA2 by threshold: adds ``is_train`` from the row's hash alone. No count, no
+    order and no shuffle; class ratios hold on average instead of exactly."""
+    cut = F.lit(train_frac * _SPAN)
+    return df.withColumn("is_train", (hash_unit(key, seed) < cut).cast("int"))

@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from .ordered import multi_quantiles, quantiles_wide, row_ranks
+from ..session import materialize
+from .ordered import (multi_quantiles, quantiles_from_counts, quantiles_wide, row_ranks,
+                      value_counts)
 
 # ---------------------------------------------------------------------------
 # Correlation and covariance
@@ -114,12 +116,23 @@ def vif(df: DataFrame, cols) -> DataFrame:
 # Normality
 # ---------------------------------------------------------------------------
 
-def _expanded_ranks(df: DataFrame, col: str) -> DataFrame:
-    """One row per non-null value with its own rank i (ties get consecutive ranks)
-    and n; built from the bucketed rank spans, so no global sort."""
-    r = row_ranks(df, col)
-    return r.select(F.col(col).cast("double").alias("x"), "n",
-                    F.explode(F.sequence("first_rank", "last_rank")).alias("i"))
+#: Ranks in one piece of a repeated value's span.
+SPAN_PIECE = 4096
+#: Sizes for which the Shapiro-Wilk p-value approximation is defined.
+SW_DOMAIN = (3, 5000)
+
+
+def _normal_scores(spans: DataFrame) -> DataFrame:
+    """Per rank span the sums of the normal scores m_i and of their squares.
+
+    A span is cut into pieces of bounded length and the pieces are dealt out
+    anew, so that a value repeated any number of times is work for many tasks."""
+    pieces = spans.select("x", "n", "last_rank", F.explode(F.sequence(
+        "first_rank", "last_rank", F.lit(SPAN_PIECE).cast("long"))).alias("from"))
+    pieces = pieces.repartition("from")
+    i = F.explode(F.sequence("from", F.least(F.col("from") + SPAN_PIECE - 1, F.col("last_rank"))))
+    scored = pieces.select("x", "n", i.alias("i"))
+    return scored.withColumn("m", dist.norm_ppf_col((F.col("i") - 0.375) / (F.col("n") + 0.25)))
 
 
 def _sw_coef_ends(n: int):
@@ -130,8 +143,9 @@ def _sw_coef_ends(n: int):
 def shapiro_wilk(df: DataFrame, col: str) -> dict:
     """Shapiro-Wilk W and p (Royston 1992/1995 approximation).
 
-    One aggregate over the ranked rows gives sum(m_i^2), sum(m_i x_(i)) over
-    the middle ranks and the four end values; the rest is scalar algebra.
+    One aggregate over the ranks gives sum(m_i^2), sum(m_i x_(i)) over the middle
+    ranks and the four end values; the rest is scalar algebra. W is computed for
+    any n; the p-value only inside ``SW_DOMAIN``, and is null beyond it.
     """
     base = df.where(F.col(col).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"), F.var_samp(col).alias("v"))
@@ -140,8 +154,8 @@ def shapiro_wilk(df: DataFrame, col: str) -> dict:
     if n < 3:
         return {"column": col, "n": n, "W": None, "p_value": None}
     ss_x = float(b["v"]) * (n - 1)
-    ex = _expanded_ranks(df, col)
-    m = dist.norm_ppf_col((F.col("i") - 0.375) / (F.col("n") + 0.25))
+    ex = _normal_scores(row_ranks(df, col).withColumn("x", F.col(col).cast("double")))
+    m = F.col("m")
     mid = (F.col("i") > 2) & (F.col("i") < F.col("n") - 1)
     agg = ex.agg(
         F.sum(m * m).alias("ss"),
@@ -175,6 +189,8 @@ def shapiro_wilk(df: DataFrame, col: str) -> dict:
         mid_all = float(agg["smid"] or 0.0) + mn1 * agg["xn1"] - mn1 * agg["x2"]
         num = an * (agg["xn"] - agg["x1"]) + mid_all / math.sqrt(phi)
     w = min(num * num / ss_x, 1.0)
+    if n > SW_DOMAIN[1]:
+        return {"column": col, "n": n, "W": w, "p_value": None}
     if n <= 11:
         gamma = 0.459 * n - 2.273
         mu = 0.544 - 0.39978 * n + 0.025054 * n ** 2 - 0.0006714 * n ** 3
@@ -193,9 +209,10 @@ def shapiro_wilk(df: DataFrame, col: str) -> dict:
 def shapiro_wilk_table(df: DataFrame, cols) -> DataFrame:
     rows = [shapiro_wilk(df, c) for c in cols]
     for r in rows:
+        r["in_domain"] = SW_DOMAIN[0] <= r["n"] <= SW_DOMAIN[1]
         r["normal_at_05"] = None if r["p_value"] is None else bool(r["p_value"] > 0.05)
     return df.sparkSession.createDataFrame(
-        rows, "column string, n long, W double, p_value double, normal_at_05 boolean")
+        rows, "column string, n long, W double, p_value double, in_domain boolean, normal_at_05 boolean")
 
 
 def moments(df: DataFrame, col: str, by=()) -> DataFrame:
@@ -212,23 +229,63 @@ def moments(df: DataFrame, col: str, by=()) -> DataFrame:
 
 def normality_large_n(df: DataFrame, col: str) -> DataFrame:
     """T7 tests against the fitted normal: Kolmogorov-Smirnov D, Cramer-von Mises
-    W^2 and Anderson-Darling A^2, from each row's own rank (ties consecutive)."""
+    W^2 and Anderson-Darling A^2, with p-values for estimated parameters.
+
+    Each distinct value stands for its span of ranks: the terms are polynomials
+    in the rank, so a span's sum has a closed form and repeated values are never
+    expanded. Both tails enter as logarithms of their own (no 1 - F).
+    """
     st = df.agg(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd"))
-    ex = _expanded_ranks(df, col).crossJoin(F.broadcast(st))
-    fz = dist.norm_cdf_col((F.col("x") - F.col("mu")) / F.col("sd"))
-    ex = ex.withColumn("F", fz)
-    n = F.col("n").cast("double")
-    i = F.col("i").cast("double")
-    eps = 1e-300
-    agg = ex.agg(
+    v = row_ranks(df, col).crossJoin(F.broadcast(st))
+    z = (F.col(col) - F.col("mu")) / F.col("sd")
+    v = v.withColumns({"F": dist.norm_cdf_col(z), "ln_f": dist.norm_log_cdf_col(z),
+                       "ln_s": dist.norm_log_cdf_col(-z)})
+    n, m = F.col("n").cast("double"), F.col("_n").cast("double")
+    a, b = F.col("first_rank").cast("double"), F.col("last_rank").cast("double")
+    odd = a + b - 1  # the mean of 2i - 1 over the span
+    agg = v.agg(
         F.first("n").alias("n"),
-        F.max(F.greatest(i / n - F.col("F"), F.col("F") - (i - 1) / n)).alias("ks_d"),
-        (F.sum((F.col("F") - (2 * i - 1) / (2 * n)) ** 2) + 1 / (12 * F.first(n))
-         ).alias("cvm_w2"),
-        (-F.first(n) - F.sum((2 * i - 1) * F.log(F.greatest(F.col("F"), F.lit(eps)))
-                             + (2 * (n - i) + 1) * F.log(F.greatest(1 - F.col("F"), F.lit(eps))))
+        F.max(F.greatest(b / n - F.col("F"), F.col("F") - (a - 1) / n)).alias("ks_d"),
+        (F.sum(m * (F.col("F") - odd / (2 * n)) ** 2 + m * (m * m - 1) / (12 * n * n))
+         + 1 / (12 * F.first(n))).alias("cvm_w2"),
+        (-F.first(n) - F.sum(m * (odd * F.col("ln_f") + (2 * n - odd) * F.col("ln_s")))
          / F.first(n)).alias("ad_a2"))
-    return agg.select(F.lit(col).alias("column"), "n", "ks_d", "cvm_w2", "ad_a2")
+    return agg.select(F.lit(col).alias("column"), "n", "ks_d", "cvm_w2", "ad_a2",
+                      _ks_p(F.col("ks_d"), F.col("n")).alias("ks_p"),
+                      _cvm_p(F.col("cvm_w2"), F.col("n")).alias("cvm_p"),
+                      _ad_p(F.col("ad_a2"), F.col("n")).alias("ad_p"))
+
+
+def _quadratic(x: Column, c0: float, c1: float, c2: float) -> Column:
+    return F.exp(c0 + c1 * x + c2 * x * x)
+
+
+# Fixed values below: published approximations of the tests' p-values when mean and
+# variance are estimated (Dallal and Wilkinson 1986; D'Agostino and Stephens 1986).
+
+def _ks_p(d: Column, n: Column) -> Column:
+    """Defined up to 0.1, null above."""
+    d = F.when(n > 100, d * F.pow(n / 100.0, F.lit(0.49))).otherwise(d)
+    n = F.least(n, F.lit(100)).cast("double")
+    p = F.exp(-7.01256 * d * d * (n + 2.78019) + 2.99587 * d * F.sqrt(n + 2.78019)
+              - 0.122119 + 0.974598 / F.sqrt(n) + 1.67997 / n)
+    return F.when(p <= 0.1, p)
+
+
+def _cvm_p(w: Column, n: Column) -> Column:
+    w = w * (1 + 0.5 / n)
+    return (F.when(w < 0.0275, 1 - _quadratic(w, -13.953, 775.5, -12542.61))
+            .when(w < 0.051, 1 - _quadratic(w, -5.903, 179.546, -1515.29))
+            .when(w < 0.092, _quadratic(w, 0.886, -31.62, 10.897))
+            .when(w < 1.1, _quadratic(w, 1.111, -34.242, 12.832)).otherwise(7.37e-10))
+
+
+def _ad_p(a: Column, n: Column) -> Column:
+    a = a * (1 + 0.75 / n + 2.25 / (n.cast("double") * n))
+    return (F.when(a < 0.2, 1 - _quadratic(a, -13.436, 101.14, -223.73))
+            .when(a < 0.34, 1 - _quadratic(a, -8.318, 42.796, -59.938))
+            .when(a < 0.6, _quadratic(a, 0.9177, -4.279, -1.38))
+            .when(a < 10, _quadratic(a, 1.2937, -5.709, 0.0186)).otherwise(3.7e-24))
 
 
 # ---------------------------------------------------------------------------
@@ -358,33 +415,41 @@ def normal_fit_curve(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by=()) -> DataFrame:
     """Quartiles, 1.5 IQR whisker ends (most extreme values inside the
-    fences), mean, n and outlier count."""
+    fences), mean, n and outlier count, all from one stored table of value counts
+    by group."""
     by = list(by)
-    q = quantiles_wide(df, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by)
+    counts = materialize(value_counts(df.select(*by, col), col, by), "box_counts")
+    q = quantiles_from_counts(counts, col, [0.25, 0.5, 0.75], by)
+    q = q.groupBy(*by).agg(*[F.max(F.when(F.col("prob_index") == i, F.col("value"))).alias(name)
+                             for i, name in enumerate(["q1", "median", "q3"])])
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    x = df.where(F.col(col).isNotNull())
-    j = x.join(F.broadcast(q), by) if by else x.crossJoin(F.broadcast(q))
+    # one row per group; without groups it is a single row
+    j = counts.join(q, by) if by else counts.crossJoin(F.broadcast(q))
     inside = (F.col(col) >= F.col("lower_fence")) & (F.col(col) <= F.col("upper_fence"))
     agg = j.groupBy(*by, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(col).alias("mean"),
+        F.sum("_n").alias("n"), (F.sum(F.col(col) * F.col("_n")) / F.sum("_n")).alias("mean"),
         F.min(F.when(inside, F.col(col))).cast("double").alias("whisker_low"),
         F.max(F.when(inside, F.col(col))).cast("double").alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
+        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"))
     return agg
 
 
-def centroid_distances(centroids: DataFrame, group: str, cols, max_groups: int = 10000
-                       ) -> DataFrame:
-    """Euclidean distance between every two group centroids (k x k table;
-    k is checked to be small before the self-join)."""
-    k = centroids.limit(max_groups + 1).count()
-    if k > max_groups:
-        raise ValueError(f"{k} groups: too many for an all-pairs centroid table")
-    a = centroids.select(F.col(group).alias("group_a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = centroids.select(F.col(group).alias("group_b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = F.broadcast(a).join(F.broadcast(b), F.col("group_a") != F.col("group_b"))
-    d = F.sqrt(sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in cols))
+def centroid_distances(centroids: DataFrame, group: str, cols, block: int = 1024) -> DataFrame:
+    """Euclidean distance between every two group centroids. The table of
+    all ordered pairs is the result, so the work is its size: groups fall into
+    hash blocks, and each pair of blocks is one key of an equi-join, which deals
+    the pairs out over tasks for any number of groups."""
+    c = materialize(centroids.select(group, *cols), "centroids")
+    blocks = max(1, -(-c.count() // block))
+    own = F.pmod(F.xxhash64(group), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = c.select(F.col(group).alias("group_a"), *[F.col(x).alias(f"a_{x}") for x in cols],
+                 own.alias("_i"), every.alias("_j"))
+    b = c.select(F.col(group).alias("group_b"), *[F.col(x).alias(f"b_{x}") for x in cols],
+                 own.alias("_j"), every.alias("_i"))
+    j = a.join(b, ["_i", "_j"]).where(F.col("group_a") != F.col("group_b"))
+    d = F.sqrt(sum((F.col(f"a_{x}") - F.col(f"b_{x}")) ** 2 for x in cols))
     return j.select("group_a", "group_b", d.alias("distance"))
 
 

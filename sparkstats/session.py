@@ -52,7 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The cluster's ``spark.checkpoint.dir`` wins; a folder of our own is only
-    chosen when nothing is configured (local tests).
+    chosen under a local master with nothing configured (tests). Elsewhere each
+    executor would write to its own disk, so a missing setting raises.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -64,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or "cluster" in sc.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="sparkstats-ckpt-")
     sc.setCheckpointDir(path)
     return path
