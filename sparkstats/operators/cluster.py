@@ -1,10 +1,19 @@
-"""K-means delay tiers (M1, M2, A19, W2) on MLlib's distributed k-means."""
+"""K-means delay tiers (M1, M2, A19, W2) by Lloyd steps as Spark aggregates.
+
+Starting centres come from a bounded sample of distinct points of least hash, so
+neither they nor the result depend on how the input is partitioned. All starts run
+in the same passes: a step reads the input once, assigns every row for every
+running start on Arrow batches, and sums per (start, cluster); only these sums
+reach the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even
@@ -13,46 +22,107 @@ from .relate import rank_tiers
 
 # The clustering features.
 CLUSTER_FEATURES = ["dep_delay", "arr_delay", "distance", "air_time"]
+#: Points of least hash from which the starting centres are drawn.
+START_SAMPLE = 2000
+
+
+def _start_centres(points: DataFrame, cols: list, k: int, n_init: int, seed: int) -> np.ndarray:
+    """(n_init, k, p): the first centre at random, each next one with probability
+    by its squared distance from those before."""
+    rows = points.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(START_SAMPLE).collect()
+    x = np.unique(np.array([list(r) for r in rows], float), axis=0)
+    if len(x) < k:
+        raise ValueError(f"{len(x)} distinct points for {k} clusters")
+    out = np.empty((n_init, k, len(cols)))
+    for s in range(n_init):
+        rng = np.random.default_rng([seed, s])
+        out[s, 0] = x[rng.integers(len(x))]
+        near = ((x - out[s, 0]) ** 2).sum(1)
+        for j in range(1, k):
+            out[s, j] = x[rng.choice(len(x), p=near / near.sum())]
+            near = np.minimum(near, ((x - out[s, j]) ** 2).sum(1))
+    return out
+
+
+def _step(points: DataFrame, cols: list, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, cost): per start and cluster the count and the coordinate sums, and
+    per start the sum of squared distances to the nearest centre."""
+    n, k, p = centres.shape
+    names = ["n", *[f"s{i}" for i in range(p)], "cost"]
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = np.zeros((n, k, p + 2))
+        for b in batches:
+            x = b.to_numpy(float)
+            full = np.column_stack([np.ones(len(x)), x])
+            for s in range(n):
+                d = ((x[:, None, :] - centres[s]) ** 2).sum(2)
+                own = d.argmin(1)
+                for j in range(k):
+                    here = own == j
+                    got[s, j, :-1] += full[here].sum(0)
+                    got[s, j, -1] += d[here, j].sum()
+        at = pd.MultiIndex.from_product([range(n), range(k)], names=["start", "cluster"])
+        yield pd.DataFrame(got.reshape(n * k, p + 2), index=at, columns=names).reset_index()
+
+    schema = "start int, cluster int, " + ", ".join(f"{c} double" for c in names)
+    rows = (points.mapInPandas(partials, schema).groupBy("start", "cluster")
+            .agg(*[F.sum(c).alias(c) for c in names]).collect())  # n_init x k rows
+    sums = np.zeros((n, k, p + 2))
+    for r in rows:
+        sums[r["start"], r["cluster"]] = [r[c] for c in names]
+    return sums[:, :, :-1], sums[:, :, -1].sum(1)
+
+
+def lloyd(points: DataFrame, cols: list, centres: np.ndarray, max_iter: int, tol: float = 1e-4
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, cost) of every start after at most ``max_iter`` steps; a start
+    stops once no centre moves by more than ``tol``. Empty clusters stay put."""
+    centres = centres.copy()
+    running = np.arange(len(centres))
+    for _ in range(max_iter):
+        sums, _ = _step(points, cols, centres[running])
+        full = sums[:, :, 0] > 0
+        moved = centres[running].copy()
+        moved[full] = sums[full][:, 1:] / sums[full][:, :1]
+        shift = np.sqrt(((moved - centres[running]) ** 2).sum(2)).max(1)
+        centres[running] = moved.round(12)
+        running = running[shift > tol]
+        if not len(running):
+            break
+    return centres, _step(points, cols, centres)[1]
+
+
+def nearest(cols: list, centres: np.ndarray) -> Column:
+    """Index of the nearest centre as an expression (the first of equals)."""
+    d = F.array(*[sum(((F.col(c) - float(v)) ** 2 for c, v in zip(cols, centre)), F.lit(0.0))
+                  for centre in centres])
+    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
 def kmeans_tiers(df: DataFrame, features=CLUSTER_FEATURES, k: int = 4, n_init: int = 10,
                  seed: int = 42, max_iter: int = 300, ddof: int = 0,
-                 rank_by: str = "arr_delay", parallel: int = 4) -> DataFrame:
+                 rank_by: str = "arr_delay") -> DataFrame:
     """M1 / M2: complete cases, standardise, best of ``n_init`` seeded k-means
     runs (least within-cluster cost), then relabel clusters 0..k-1 by the mean
     of ``rank_by`` (0 = lowest). Raw feature values are kept on each row.
 
-    The input should be a stored table (see ``session.materialize``). It is not
-    cached here: MLlib then persists its own vector RDD per fit, which avoids
-    re-decoding cached rows on every iteration. ``parallel`` starts run at
-    once (wall time versus one feature copy in memory per running start).
+    The input should be a stored table (see ``session.materialize``): every step
+    reads its feature columns.
     """
     feats = list(features)
     sub = df.dropna(subset=feats)
+    z = [f"_z_{c}" for c in feats]
     scaled = standard_scale(sub.select(*[F.col(c).alias(f"_z_{c}") for c in feats],
-                                       *sub.columns), [f"_z_{c}" for c in feats], ddof)
-    vec = VectorAssembler(inputCols=[f"_z_{c}" for c in feats], outputCol="_features"
-                          ).transform(scaled).drop(*[f"_z_{c}" for c in feats])
-    par = vec.sparkSession.sparkContext.defaultParallelism
-    if vec.rdd.getNumPartitions() < par:
-        vec = vec.repartition(par)
-
-    def run(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
-                       predictionCol="_cluster").fit(vec)
-        return model.summary.trainingCost, i, model
-
-    # The starts are independent jobs over the same cached input: submit them
-    # concurrently so the scheduler interleaves their small per-iteration stages.
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(n_init, parallel))) as pool:
-        fits = list(pool.map(run, range(n_init)))
-    best_cost, _, best = min(fits, key=lambda t: (t[0], t[1]))
-    labelled = best.transform(vec).drop("_features")
+                                       *sub.columns), z, ddof)
+    points = scaled.select(*z)
+    centres, cost = lloyd(points, z, _start_centres(points, z, k, n_init, seed), max_iter)
+    best = int(np.argmin(cost.round(9)))
+    labelled = scaled.withColumn("_cluster", nearest(z, centres[best])).drop(*z)
     means = labelled.groupBy("_cluster").agg(F.avg(rank_by).alias("_m"))  # k rows
     tiers = rank_tiers(means, "_cluster", "_m", "cluster").drop("_m")
     out = labelled.join(F.broadcast(tiers), "_cluster").drop("_cluster")
-    return out.withColumn("_cost", F.lit(float(best_cost)))
+    return out.withColumn("_cost", F.lit(float(cost[best])))
 
 
 def cluster_summary(clustered: DataFrame, features=CLUSTER_FEATURES) -> DataFrame:

@@ -8,10 +8,10 @@ expressions with the solved weights as literals.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,26 +143,46 @@ def importance(coef: DataFrame) -> DataFrame:
         Window.orderBy(F.desc("mean_abs_coef"), "feature")))
 
 
-def save_model(model: LDAModel, spark, path: str) -> None:
-    """The model as a tidy parquet table (one row per class)."""
-    rows = [(str(c), float(model.priors[k]), [float(x) for x in model.means[k]],
+def _class_type(classes) -> str:
+    """Spark type of the stored class labels."""
+    for kind, name in ((bool, "boolean"), (int, "long"), (float, "double")):
+        if all(isinstance(c, kind) for c in classes):
+            return name
+    return "string"
+
+
+def data_fingerprint(df: DataFrame, label: str, features) -> str:
+    """Row count and order-free content hash of a fit's input (features rounded,
+    so that another order of summation in a scaler does not count as a change)."""
+    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(
+        F.col(label), *[F.round(F.col(c), 6) for c in features]).cast("decimal(38,0)"))).first()
+    return f"{label}|{','.join(features)}|{row[0]}|{row[1]}"
+
+
+def save_model(model: LDAModel, spark, path: str, fingerprint: str = "") -> None:
+    """The model as two parquet tables (one row per class; one row of the rest)."""
+    typed = _class_type(model.classes)
+    rows = [(str(c) if typed == "string" else c, float(model.priors[k]), [float(x) for x in model.means[k]],
              [float(x) for x in model.coef[k]], float(model.intercept[k]))
             for k, c in enumerate(model.classes)]
-    meta = spark.createDataFrame(rows, "class string, prior double, mean array<double>, "
-                                 "coef array<double>, intercept double")
-    meta.write.mode("overwrite").parquet(path + "/classes")
+    classes = spark.createDataFrame(rows, f"class {typed}, prior double, mean array<double>, "
+                                    "coef array<double>, intercept double")
     extra = spark.createDataFrame(
-        [(model.features, [float(x) for x in model.xbar],
+        [(fingerprint, model.features, [float(x) for x in model.xbar],
           [[float(x) for x in r] for r in model.scalings],
           [float(x) for x in model.explained_variance_ratio], model.n)],
-        "features array<string>, xbar array<double>, scalings array<array<double>>, "
-        "evr array<double>, n long")
+        "fingerprint string, features array<string>, xbar array<double>, "
+        "scalings array<array<double>>, evr array<double>, n long")
+    classes.write.mode("overwrite").parquet(path + "/classes")
     extra.write.mode("overwrite").parquet(path + "/model")
 
 
-def load_model(spark, path: str) -> LDAModel:
-    cls = sorted(spark.read.parquet(path + "/classes").collect(), key=lambda r: r["class"])
+def load_model(spark, path: str, fingerprint: str | None = None) -> LDAModel | None:
+    """The stored model; None if ``fingerprint`` is given and is not the stored one."""
     m = spark.read.parquet(path + "/model").first()
+    if fingerprint is not None and m["fingerprint"] != fingerprint:
+        return None
+    cls = sorted(spark.read.parquet(path + "/classes").collect(), key=lambda r: r["class"])
     return LDAModel(list(m["features"]), [r["class"] for r in cls],
                     np.array([r["prior"] for r in cls]), np.array([r["mean"] for r in cls]),
                     np.array(m["xbar"]), np.array(m["scalings"]),
@@ -170,14 +190,16 @@ def load_model(spark, path: str) -> LDAModel:
                     np.array(m["evr"]), int(m["n"]))
 
 
-def load_or_fit(spark, path: str, fit):
-    """Load the stored model, or fit and store it when absent."""
+def load_or_fit(spark, path: str, fit, fingerprint: str = ""):
+    """The stored model if it was fitted on data of this fingerprint; else fit,
+    store and load it. Only an absent path counts as absent: other errors rise."""
     try:
-        return load_model(spark, path)
-    except Exception:  # noqa: BLE001 - absent or unreadable: refit
-        model = fit()
-        save_model(model, spark, path)
-        return model
-
-
-_ = math
+        found = load_model(spark, path, fingerprint)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    if found is None:
+        save_model(fit(), spark, path, fingerprint)
+        found = load_model(spark, path, fingerprint)
+    return found

@@ -7,8 +7,6 @@ matrix sum(w p (1-p) x x'), one aggregate of p(p+1)/2 expressions.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -30,7 +28,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
     """w = n / (k * n_class): 'balanced' weights = equal priors."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    wt = counts.crossJoin(tot).select(
+    wt = counts.crossJoin(F.broadcast(tot)).select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(wt), label)  # one row per class
 
@@ -84,8 +82,10 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     from the weighted information matrix."""
     feats = list(features)
     sub = df.select(*([key] if key else []), label, *feats).dropna()
-    if key:
-        sub = stratified_split(sub, label, key, train_frac, seed).where(F.col("is_train") == 1)
+    holdout = None
+    if key:  # the split is stored: the passes below and the hold-out read it
+        split = stratified_split(sub, label, key, train_frac, seed)
+        sub, holdout = split.where(F.col("is_train") == 1), split.where(F.col("is_train") == 0)
     w = balanced_weights(sub, label)
     model = _fit(w, feats, label, "_w", 0.0)
     coef = model.coefficients.toArray()
@@ -108,7 +108,8 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     pv = [dist.chi2_sf(float(x), 1) for x in wald]
     rows = [(t, float(e), float(s), float(wd), float(pp))
             for t, e, s, wd, pp in zip(["Intercept", *feats], est, se, wald, pv)]
-    return {"features": feats, "coef": coef, "intercept": b0, "rows": rows, "train": w}
+    return {"features": feats, "coef": coef, "intercept": b0, "rows": rows, "train": w,
+            "holdout": holdout}
 
 
 def coef_importance(spark, features, coef, pvalues=None, top: int = 15) -> DataFrame:
@@ -121,5 +122,3 @@ def coef_importance(spark, features, coef, pvalues=None, top: int = 15) -> DataF
                                "p_value double, significant boolean")
     return df.orderBy(F.desc("abs_coef"), "feature").limit(top)
 
-
-_ = math

@@ -44,5 +44,3 @@ def processed(merged: DataFrame) -> DataFrame:
     return scaled.withColumn("Income_group_encoded",
                              encode.ordinal_encode("Income group", INCOME_ORDER))
 
-
-_ = reduce

@@ -29,8 +29,11 @@ def merged(spark, sf):
     return relate.join_airports(flights(spark, sf), airports(spark, sf))
 
 
-def derived(spark, sf):
-    return derive.derive_flights(flights(spark, sf))
+def derived(spark, sf, raw: str | None = None):
+    """Flights with all derived columns; ``raw`` names a copy of the arrival delay
+    as it was before its nulls are filled."""
+    f = flights(spark, sf)
+    return derive.derive_flights(f.withColumn(raw, F.col("arr_delay")) if raw else f)
 
 
 DIM_SQL = """dim AS (
@@ -243,8 +246,7 @@ def q_derive_flights(spark, sf):
   FROM (SELECT d.*, f.arr_delay AS a FROM dflights d JOIN flights f USING (flight_key))"""))
 def q_value_labels(spark, sf):
     """Formatted labels; the raw arrival delay keeps its nulls unlabelled."""
-    raw = flights(spark, sf).select("flight_key", F.col("arr_delay").alias("a"))
-    d = derived(spark, sf).join(raw, "flight_key")
+    d = derived(spark, sf, "raw_arr_delay")
     return d.select(
         "flight_key",
         labels.value_label("op_unique_carrier", labels.CARRIER_NAMES, "Other").alias("carrier_name"),
@@ -253,7 +255,7 @@ def q_value_labels(spark, sf):
         labels.value_label("cancellation_code", labels.CANCEL_REASONS).alias("cancel_reason"),
         labels.value_label("flight_status", labels.STATUS_LABELS).alias("status_label"),
         labels.range_label("dep_delay").alias("dep_band"),
-        labels.range_label("a").alias("raw_arr_band"))
+        labels.range_label("raw_arr_delay").alias("raw_arr_band"))
 
 
 # --- grouped summaries (interactive analysis: pandas rounding) ------------------

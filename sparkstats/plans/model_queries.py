@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import derive, labels
@@ -267,10 +269,7 @@ def q_lr_ctable(spark, sf):
 def q_lr_score(spark, sf):
     """V9: the stored M4 coefficients applied to the held-out 20 %, then AUC."""
     r = _lr_unpen(spark, sf)
-    d = derived(spark, sf).select("flight_key", "cancelled", *r["features"]).dropna()
-    from ..operators.sampling import stratified_split
-    test = stratified_split(d, "cancelled", "flight_key", 0.8, 42).where(F.col("is_train") == 0)
-    s = logistic.score(test, r["features"], r["coef"], r["intercept"])
+    s = logistic.score(r["holdout"], r["features"], r["coef"], r["intercept"])
     return evaluate.auc(s, "cancelled", "prob")
 
 
@@ -362,9 +361,11 @@ def q_lda_cent(spark, sf):
 
 @query("lda_stored_model")
 def q_lda_stored(spark, sf):
-    """Load the stored model (or fit and store it), then predict (V9)."""
+    """Store the model (unless one of the same data is there), load it, then
+    predict (V9)."""
     data = _lda_data(spark, sf)
-    path = checkpoint_path(spark, "lda_priority_" + str(abs(hash(sf))))
+    path = checkpoint_path(spark, "models/lda_priority_" + hashlib.md5(sf.encode()).hexdigest())
     m = discrim.load_or_fit(spark, path,
-                            lambda: discrim.lda_fit(data, "o_orderpriority", LDA_FEATURES))
+                            lambda: discrim.lda_fit(data, "o_orderpriority", LDA_FEATURES),
+                            discrim.data_fingerprint(data, "o_orderpriority", LDA_FEATURES))
     return discrim.lda_predict(data, m).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
