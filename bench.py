@@ -26,6 +26,7 @@ HEADLINE = [
     "anova_carrier", "histogram_dep_delay", "auc_dep_delay", "roc_dep_delay",
     "classification_report_priority", "lda_coefficients", "ols_carrier_effects",
     "kmeans_tiers", "durbin_watson", "shapiro_wilk_dep_delay",
+    "stratified_split", "label_encode_airports", "box_stats_carrier", "logistic_balanced_auc",
 ]
 
 

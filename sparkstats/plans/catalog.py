@@ -1,6 +1,8 @@
 """Registry of named queries: a Spark builder and, where SQL can say the same
-thing, the DuckDB oracle text. Builders take (spark, sf_dir) and return a lazy
-DataFrame over the whole tables.
+thing, the DuckDB oracle text. Builders take (spark, sf_dir) and return a
+DataFrame over the whole tables. Building one may already run jobs: fitted state
+(medians, scalers, model coefficients) is inlined, and ordered or multi-pass inputs
+are stored under the checkpoint folder.
 
 ``digits`` names double columns that both sides round (half-even, binary) as
 a final presentation step, so tiny summation-order differences between two
@@ -60,6 +62,6 @@ def query(name: str, sql: str | None = None, rounded=None, digits: int = 6):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import (flight_queries, model_queries, profile_queries,  # noqa: F401
+    from . import (flight_queries, model_queries, more_queries, profile_queries,  # noqa: F401
                    report_queries, stat_queries)
     return REGISTRY

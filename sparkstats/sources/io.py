@@ -7,14 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Types a column is tried against, narrowest first.
+_GUESSES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+
+
+def _guessed(text: DataFrame, rows: int) -> str:
+    """Schema of a table of strings: per column the narrowest type that the first
+    ``rows`` rows all fit, from one aggregate; string if none does."""
+    head = text.limit(rows)
+    misses = [F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS {t}) IS NULL")).alias(f"m{i}_{t}")
+              for i, c in enumerate(text.columns) for t in _GUESSES]
+    filled = [F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(text.columns)]
+    r = head.agg(*misses, *filled).first()
+    kinds = [next((t for t in _GUESSES if r[f"n{i}"] and not r[f"m{i}_{t}"]), "string") for i in range(len(text.columns))]
+    return ", ".join(f"`{c}` {t}" for c, t in zip(text.columns, kinds))
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    encoding: str = "UTF-8", infer_rows: int | None = None) -> DataFrame:
     """CSV with a header. A declared schema is preferred; without
-    one, types are inferred (``infer_rows`` limits the scan like SAS's guessing
-    rows, via a sampling ratio is not exact, so the whole file is scanned when
-    None). NaN becomes NULL on read."""
+    one, types are inferred from the first ``infer_rows`` rows (values further down
+    that do not fit become NULL), or from the whole file when None. NaN becomes
+    NULL on read."""
     r = spark.read.option("header", True).option("encoding", encoding).option(
         "multiLine", False).option("quote", '"').option("escape", '"')
+    if schema is None and infer_rows is not None:
+        schema = _guessed(r.csv(path), infer_rows)
     if schema is not None:
         df = r.schema(schema).csv(path)
     else:
