@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import prefix_sums
 from .relate import small_side
 
@@ -51,12 +52,18 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols) -> DataFrame:
-    """Replace each column by its code (string order), via a join to the encoder."""
+    """Replace each column by its code (string order). The levels of all columns
+    come from one pass and one aggregate; the codes are one table, joined per column."""
+    cols = list(cols)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols]))
+    found = df.select(pairs.alias("_p")).select("_p.*").where(F.col("_v").isNotNull()).distinct()
+    ranked = prefix_sums(found.withColumn("_one", F.lit(1)), ["_c"], "_v", ["_one"])
+    codes = materialize(ranked.select("_c", F.col("_v").alias("_lv"), F.col("_one_before").cast("int").alias("_code")), "codes")
     out = df
     for c in cols:
-        enc = small_side(label_codes(df, c).withColumnRenamed(c, "_lv"))
+        enc = small_side(codes.where(F.col("_c") == c).select("_lv", "_code"))
         out = (out.join(enc, F.col(c).cast("string") == F.col("_lv"), "left")
-                  .withColumn(c, F.col("code")).drop("_lv", "code"))
+                  .withColumn(c, F.col("_code")).drop("_lv", "_code"))
     return out
 
 

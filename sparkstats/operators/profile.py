@@ -45,15 +45,25 @@ def missing_matrix(df: DataFrame, key: str, n: int = 500) -> DataFrame:
 
 
 def column_inventory(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Q3: name, type, non-null count, distinct count (exact, or HLL++ if approx)."""
+    """Q3: name, type, non-null count, distinct count (exact, or HLL++ if approx).
+
+    The exact form counts (column, value) pairs: narrow rows that combine before
+    the shuffle, instead of a copy of the whole row per counted column."""
     cols = df.columns
     types = dict(df.dtypes)
-    dist = F.approx_count_distinct if approx else F.count_distinct
-    agg = df.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)],
-                 *[dist(c).alias(f"_d{i}") for i, c in enumerate(cols)])
-    long = _rows(agg, [(c, {"non_null": f"_n{i}", "n_distinct": f"_d{i}"})
-                       for i, c in enumerate(cols)])
     type_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
+    if approx:
+        agg = df.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)],
+                     *[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)])
+        long = _rows(agg, [(c, {"non_null": f"_n{i}", "n_distinct": f"_d{i}"})
+                           for i, c in enumerate(cols)])
+        return long.withColumn("dtype", type_map[F.col("column")])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
+                                for c in cols]))
+    counts = df.select(pairs.alias("_p")).select("_p.*").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    long = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+        F.count("v").alias("n_distinct"))
     return long.withColumn("dtype", type_map[F.col("column")])
 
 

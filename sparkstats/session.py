@@ -18,19 +18,8 @@ SCALE_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
-# Runtime SQL settings the library's plans rely on. Constraint propagation
-# re-derives every null / equality constraint through each projection; with
-# many literal-bearing derived columns above joins it grows combinatorially
-# and can stall the optimizer, while it buys nothing for these plans.
-RUNTIME_SQL = {
-    "spark.sql.constraintPropagation.enabled": "false",
-}
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings and make sure a checkpoint folder is known."""
-    for k, v in RUNTIME_SQL.items():
-        spark.conf.set(k, v)
+    """Make sure a checkpoint folder is known; no setting of the session changes."""
     ensure_checkpoint_dir(spark)
     return spark
 
