@@ -119,8 +119,9 @@ def _by_kind(of: dict[str, Column], otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
-def _vote(yes: Column, no: Column = F.lit(False)) -> Column:
-    return F.when(yes, 1).when(no, -1).otherwise(0)
+def _vote(yes: Column, no: Column | None = None) -> Column:
+    vote = F.when(yes, 1)
+    return (vote if no is None else vote.when(no, -1)).otherwise(0)
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -167,13 +168,16 @@ def reliabilities(counts: DataFrame, rounds: int = 12) -> Column:
         sums = [F.sum(F.when(F.col("kind") == k, F.col("n") * y)) for k in range(len(KINDS)) for y in (p, 1 - p)]
         sums += [F.sum(F.when(F.col(v) == x, F.col("n") * y)) for v in VOTES for x in (-1, 0, 1) for y in (p, 1 - p)]
         got = [x or 0.0 for x in counts.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        prior = [(a + 1) / (a + b + 2) for a, b in zip(got[:2 * len(KINDS):2], got[1:2 * len(KINDS):2])]
+        prior = [min(max((a + 1) / (a + b + 2), 0.05), 0.95) for a, b in zip(got[:2 * len(KINDS):2], got[1:2 * len(KINDS):2])]
         odds = F.element_at(F.array(*[F.lit(_logit(x)) for x in prior]), F.col("kind") + 1)
         at = 2 * len(KINDS)
         for v in VOTES:
             yes, no = got[at:at + 6:2], got[at + 1:at + 7:2]
-            yes, no = [x + s for x, s in zip(yes, (1, 2, 3))], [x + s for x, s in zip(no, (3, 2, 1))]  # a vote says something for a start
-            ratio = [math.log(y / sum(yes)) - math.log(n / sum(no)) for y, n in zip(yes, no)]
+            yes, no = [x + s for x, s in zip(yes, (1, 2, 3))], [x + s for x, s in zip(no, (3, 2, 1))]
+            against, _, pro = [math.log(y / sum(yes)) - math.log(n / sum(no)) for y, n in zip(yes, no)]
+            # an abstention says nothing, and a vote never speaks against itself: one huge group of like
+            # candidates could otherwise turn a labeler round for all the others
+            ratio = (min(against, 0.0), 0.0, max(pro, 0.0))
             odds = odds + F.element_at(F.array(*[F.lit(r) for r in ratio]), F.col(v) + 2)
             at += 6
     return 1 / (1 + F.exp(-odds))

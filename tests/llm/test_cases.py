@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import collections
+import re
 
 import numpy as np
-import pytest
 from fixtures import (BASE, LINE, ODD, PASSAGE, base_spans, components, crc_held_out, docs, fingerprint, sha, tables,
                       vector_links)
 from pyspark.sql import functions as F
@@ -104,7 +104,7 @@ def test_pii_empty(spark):
 def test_mixing_odd_cases(spark):
     plan = mixing.mix_plan(docs(spark, extra=False)).toPandas()
     assert len(plan) == len(ODD) and (plan.copies <= 2).all() and (plan.copies >= 0).all()
-    words = [len((t or "").split()) for _, t, *_ in ODD]
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in ODD]
     assert abs(plan.drop_duplicates("source").target.sum() - 1.5 * sum(words)) < 1e-6 * sum(words)
     assert (plan.target <= 2 * plan.source_size + 1e-9).all()
     again = mixing.mix_plan(docs(spark).repartition(7)).toPandas()
@@ -182,8 +182,9 @@ def test_simhash_brute_force(spark):
     for d, t, *_ in rows:
         k = root[fingerprint(t)]
         least[k] = min(x for x in (least.get(k), d, 1 << 62) if x is not None)
-    want = sorted((d if d is not None else -1, fingerprint(t), least[root[fingerprint(t)]]) for d, t, *_ in rows)
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.fp % (1 << 64), r.component_id) for r in got) == want
+    least = {k: None if v == 1 << 62 else v for k, v in least.items()}
+    want = [(d, fingerprint(t), least[root[fingerprint(t)]]) for d, t, *_ in rows]
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == sorted(want, key=str)
     assert simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
@@ -241,8 +242,6 @@ def test_vectors_across_partition_borders(spark):
 # --- decontamination
 
 def brute_hits(rows, items):
-    import re
-
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = {}
@@ -331,7 +330,7 @@ def test_quality_odd_cases(spark):
     frame = docs(spark).withColumns({"good": F.lit(1), "body": F.lit("b")})
     got = quality.scored(frame, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and set(frame.columns) <= set(got[0].asDict())
-    assert {r.score for r in quality.scored(frame, labels.limit(0)).collect()} == {pytest.approx(1.0, abs=1e-5)}
+    assert all(r.score > 0.999 for r in quality.scored(frame, labels.limit(0)).collect())
     assert quality.scored(frame.limit(0), labels).count() == 0
     twice = collections.defaultdict(set)
     for r in got:
