@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language has a zstandard dictionary of raw content: pieces of texts that are
-labelled with it. A text is compressed once with every dictionary, and the language
-whose dictionary makes it smallest is predicted; ``score`` is the share that the
+labelled with it. A text is compressed once with every dictionary, both reduced to
+their letters in lower case (so that symbols and markup tell nothing), and the
+language whose dictionary makes it smallest is predicted; ``score`` is the share that the
 best saves against the second best, and margins below ``REJECT`` are rejected.
 
 The dictionaries are a bounded sample, ``PIECES`` pieces of ``PIECE`` characters
@@ -30,6 +31,10 @@ REJECT = 0.01
 LEVEL = 3
 
 
+def letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+
+
 def dictionaries(docs: DataFrame, training: Column) -> dict[str, bytes]:
     """Raw content per language, at most ``PIECES * PIECE`` characters each."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -40,11 +45,11 @@ def dictionaries(docs: DataFrame, training: Column) -> dict[str, bytes]:
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))) + 1
     pieces = (rows.join(F.broadcast(counts), "lang").filter(near)
               .groupBy("lang", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(PIECES)).alias("slot"))
-              .agg(F.min(F.struct(h.alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(PIECE)).alias("piece")))["piece"].alias("piece")))
+              .agg(F.min(F.struct(h.alias("h"), letters(F.substring(F.col("text"), start.cast("int"), F.lit(PIECE))).alias("piece")))["piece"].alias("piece")))
     out: dict[str, list[str]] = {}
     for lang, _, piece in sorted(map(tuple, pieces.collect())):  # bounded: PIECES rows a language
         out.setdefault(lang, []).append(piece)
-    return {lang: "\n".join(p).encode() for lang, p in sorted(out.items())}
+    return {lang: " ".join(p).encode() for lang, p in sorted(out.items())}
 
 
 def identified(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
@@ -67,5 +72,7 @@ def identified(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
         for s in texts:
             yield pd.DataFrame([one(t) for t in s], columns=["lang_pred", "score", "rejected"])
 
-    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("binary"))
-    return docs.withColumn("_found", identify(lettered)).select("*", "_found.*").drop("_found")
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), letters(F.col("text")).cast("binary"))
+    found = F.col("_found")
+    return (docs.withColumn("_found", identify(lettered))
+            .withColumns({c: found[c] for c in ("lang_pred", "score", "rejected")}).drop("_found"))

@@ -37,7 +37,7 @@ from pyspark.sql.types import DoubleType
 
 from .common import stored, text_of
 
-LABELLED, POOL = 8000, 4000
+LABELLED, POOL = 6000, 2000
 HELD_OUT = 5             # every fifth labelled document calibrates
 SPACE = 1 << 18          # hashed features of a view
 LEAST_COUNT = 8          # documents that must have a feature
