@@ -12,7 +12,7 @@ literals.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -203,6 +203,11 @@ def linear_predictor(res: OLSResult) -> Column:
     return expr
 
 
+def renamed(res: OLSResult, names: dict) -> OLSResult:
+    """``res`` with terms renamed, where a column needs quoting to be referred to."""
+    return replace(res, terms=[names.get(t, t) for t in res.terms])
+
+
 def quad_form(res: OLSResult) -> Column:
     """Leverage h = x' (X'X)^-1 x as a column expression (x includes the 1)."""
     xs = [F.lit(1.0)] + [F.col(t).cast("double") for t in res.terms[1:]]

@@ -113,6 +113,24 @@ def q_glm_estimates(spark, sf):
     return t.unionByName(ref)
 
 
+@query("glm_predictions")
+def q_glm_predictions(spark, sf):
+    """M8 per row: fitted value and residual of the class-effect model."""
+    data, dummies, _ = _glm_design(spark, sf)
+    res, _ = linear.ols(data, "log_arr_delay", [*REG_FEATURES, *dummies])
+    fitted = linear.linear_predictor(linear.renamed(res, {c: f"`{c}`" for c in dummies}))
+    return data.select("flight_key", "log_arr_delay", fitted.alias("fitted")).withColumn(
+        "residual", F.col("log_arr_delay") - F.col("fitted"))
+
+
+@query("glm_residual_trend")
+def q_glm_residual_trend(spark, sf):
+    """Local trend of the class-effect model's residuals along the fit."""
+    p = materialize(q_glm_predictions(spark, sf).select("fitted", "residual"), "glm_residuals")
+    return stats.local_trend(p, "fitted", "residual", 100, 0.3, 1000)
+
+
+# The predictors of the two nested models.
 MODEL_A = ["dep_delay", "distance", "weather_delay", "nas_delay", "is_weekend"]
 MODEL_B = MODEL_A[:-1]
 
@@ -146,6 +164,30 @@ def q_bp(spark, sf):
                                  "bp_stat double, df long, p_value double")
 
 
+@query("restricted_battery")
+def q_restricted_battery(spark, sf):
+    """T5, T17, T18, T6 and T7 of model B: its checks in one table."""
+    data = _nested_data(spark, sf)
+    res, _ = linear.ols(data, "arr_delay", MODEL_B)
+    bp = linear.breusch_pagan(data, res, "arr_delay")
+    dw = linear.durbin_watson(data, res, "arr_delay", "flight_key")
+    r = materialize(data.select((F.col("arr_delay") - linear.linear_predictor(res)).alias("residual")), "residuals")
+    sw, big = stats.shapiro_wilk(r, "residual"), stats.normality_large_n(r, "residual").first()
+    rows = [("breusch_pagan", bp["bp_stat"], bp["p_value"]), ("durbin_watson", dw["dw"], dw["p_value"]),
+            ("shapiro_wilk", sw["W"], sw["p_value"]), ("kolmogorov_smirnov", big["ks_d"], big["ks_p"]),
+            ("cramer_von_mises", big["cvm_w2"], big["cvm_p"]), ("anderson_darling", big["ad_a2"], big["ad_p"])]
+    rows += [(f"vif[{v['feature']}]", v["vif"], None) for v in stats.vif(data, MODEL_B).collect()]
+    return spark.createDataFrame(rows, "item string, value double, p_value double")
+
+
+@query("vif_models")
+def q_vif_models(spark, sf):
+    """T5 + F19 of models A and B: inflation factors with the flag above 10."""
+    data = _nested_data(spark, sf).withColumn("is_weekend", F.col("is_weekend").cast("double"))
+    both = [stats.vif(data, xs).withColumn("model", F.lit(m)) for m, xs in (("A", MODEL_A), ("B", MODEL_B))]
+    return both[0].unionByName(both[1]).withColumn("high", F.col("vif") > 10)
+
+
 @query("durbin_watson")
 def q_dw(spark, sf):
     """T18 on model A, rows in flight_key order."""
@@ -282,6 +324,14 @@ def q_kmeans(spark, sf):
     return cluster.cluster_summary(c)
 
 
+@query("kmeans_rows")
+def q_kmeans_rows(spark, sf):
+    """Every clustered row with its tier, for the scatter plot."""
+    sub = clean.load_clean(flights(spark, sf)).select("flight_key", *cluster.CLUSTER_FEATURES)
+    c = cluster.kmeans_tiers(materialize(sub, "kmeans_rows_input"), n_init=3)
+    return c.select("flight_key", "distance", "arr_delay", "cluster")
+
+
 @query("kmeans_operated")
 def q_kmeans_op(spark, sf):
     """M2: operated flights only, sample-std scaling, one seeded run, 100 iterations."""
