@@ -231,7 +231,7 @@ def q_derive_flights(spark, sf):
     return derived(spark, sf)
 
 
-@query("value_labels", _dsql(f"""
+@query("value_labels", _sql(f"""
   SELECT flight_key,
     coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in labels.CARRIER_NAMES.items())}}}[op_unique_carrier], 'Other') AS carrier_name,
     MAP {{{', '.join(f"{k}: '{v}'" for k, v in labels.MONTH_NAMES.items())}}}[month] AS month_name,
@@ -243,7 +243,7 @@ def q_derive_flights(spark, sf):
          END AS dep_band,
     CASE WHEN a < 0 THEN 'Early' WHEN a >= 0 AND a < 16 THEN 'On Time / Minor'
          WHEN a >= 16 AND a < 60 THEN 'Moderate' WHEN a >= 60 THEN 'Severe' END AS raw_arr_band
-  FROM (SELECT d.*, f.arr_delay AS a FROM dflights d JOIN flights f USING (flight_key))"""))
+  FROM dflights""", "fraw AS (SELECT *, arr_delay AS a FROM flights)", _derive_sql_body("fraw")))
 def q_value_labels(spark, sf):
     """Formatted labels; the raw arrival delay keeps its nulls unlabelled."""
     d = derived(spark, sf, "raw_arr_delay")
