@@ -6,10 +6,10 @@ are kept in unary, so that the Manhattan distance of two embeddings is the numbe
 of differing bits of two longs. It never exceeds the number of bits in which the
 fingerprints differ, so it bounds that from below.
 
-The grid: the 32 coordinates form ``max_bits + 3`` blocks. A Manhattan distance
-of ``max_bits`` touches at most that many blocks, so at least three blocks agree
-and the pair shares a cell of the grid over those three; every choice of three
-blocks is one grid. In a cell, members within reach of its leader (the
+The grid: the 32 coordinates form ``max_bits + AGREE`` blocks. A Manhattan distance
+of ``max_bits`` touches at most that many blocks, so at least ``AGREE`` blocks agree
+and the pair shares a cell of the grid over those; every choice of ``AGREE`` blocks
+is one grid. In a cell, members within reach of its leader (the
 fingerprint of most documents) are linked to it and need no links among
 themselves; only the others are compared with the cell. Pairs pass the Manhattan
 bound first and then the exact bit count. Exact copies are one fingerprint and
@@ -36,6 +36,7 @@ from .common import identity, stored, text_of
 from .components import components
 
 PAIRS_LOW = 0x5555555555555555  # the low bit of each 2-bit segment
+AGREE = 4  # blocks that span a grid: more make finer cells (fewer chance meetings) and more grids
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -85,26 +86,24 @@ def _signed(x: int) -> int:
 def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges ``a, b`` that connect all fingerprints within ``max_bits`` of each
     other. classes: distinct ``fp`` with its number of rows ``n``."""
-    bounds = np.linspace(0, 32, max_bits + 4).round().astype(int)
+    bounds = np.linspace(0, 32, max_bits + AGREE + 1).round().astype(int)
     blocks = [sum(3 << (2 * i) for i in range(a, b)) for a, b in itertools.pairwise(bounds.tolist())]
-    grids = [_signed(sum(c)) for c in itertools.combinations(blocks, 3)]
-    code = F.col("code")
-    cells = (classes.select("fp", "n", _unary(F.col("fp")).alias("code"))
-             .select("fp", "n", "code", F.explode(F.array(*[
-                 F.struct(F.lit(i).alias("grid"), code.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(grids)])).alias("at"))
-             .select("at.grid", "at.cell", "fp", "n", "code"))
-    leaders = (cells.groupBy("grid", "cell").agg(F.max(F.struct("n", "fp"))["fp"].alias("leader"), F.count("*").alias("size"))
+    grids = [_signed(sum(c)) for c in itertools.combinations(blocks, AGREE)]
+    code = _unary(F.col("fp"))
+    # a cell goes by a hash of grid and coordinates: two cells of one hash only add pairs to verify
+    cells = (classes.repartition("fp").select("fp", "n", code.alias("code"))
+             .select("fp", "n", F.explode(F.array(*[
+                 F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(grids)])).alias("cell")))
+    leaders = (cells.groupBy("cell").agg(F.max(F.struct("n", "fp"))["fp"].alias("leader"), F.count("*").alias("size"))
                .filter("size > 1").drop("size"))
-    members = stored(cells.join(leaders, ["grid", "cell"])
-                     .withColumn("near", (_differ(F.col("code"), _unary(F.col("leader"))) <= max_bits)
-                                 & (_differ(F.col("fp"), F.col("leader")) <= max_bits))
-                     .select("grid", "cell", "fp", "code", "leader", "near"), "cells")
+    members = stored(cells.drop("n").join(leaders, "cell")
+                     .withColumn("near", (_differ(code, _unary(F.col("leader"))) <= max_bits)
+                                 & (_differ(F.col("fp"), F.col("leader")) <= max_bits)), "cells")
     to_leader = members.filter("near AND fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
-    stray = members.filter("NOT near").select("grid", "cell", F.col("fp").alias("a"), F.col("code").alias("code_a"))
-    other = members.select(F.col("grid").alias("g"), F.col("cell").alias("c"), F.col("fp").alias("b"), F.col("code").alias("code_b"), "near")
-    across = stray.join(other, (F.col("grid") == F.col("g")) & (F.col("cell") == F.col("c"))
-                        & (F.col("near") | (F.col("a") < F.col("b")))
-                        & (_differ(F.col("code_a"), F.col("code_b")) <= max_bits)
+    stray = members.filter("NOT near").select("cell", F.col("fp").alias("a"))
+    other = members.select(F.col("cell").alias("c"), F.col("fp").alias("b"), "near")
+    across = stray.join(other, (F.col("cell") == F.col("c")) & (F.col("near") | (F.col("a") < F.col("b")))
+                        & (_differ(_unary(F.col("a")), _unary(F.col("b"))) <= max_bits)
                         & (_differ(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
     return to_leader.unionByName(across)
 
@@ -115,7 +114,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes, max_bits))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both sides of the last joins are stored: plain exchanges, which a component of any size can be split over
+    rooted = stored(classes.join(roots, classes.fp == roots.node, "left")
+                    .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "_id", "_th", "fp", "component_id")
