@@ -164,10 +164,11 @@ def reliabilities(counts: DataFrame, rounds: int = 12) -> Column:
     round is one aggregate to one row of sums."""
     odds = sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0])).cast("double")  # at first, the sum of the votes
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-odds))
+        weighed = counts.select("kind", *VOTES, "n", (1 / (1 + F.exp(-odds))).alias("p"))
+        p = F.col("p")
         sums = [F.sum(F.when(F.col("kind") == k, F.col("n") * y)) for k in range(len(KINDS)) for y in (p, 1 - p)]
         sums += [F.sum(F.when(F.col(v) == x, F.col("n") * y)) for v in VOTES for x in (-1, 0, 1) for y in (p, 1 - p)]
-        got = [x or 0.0 for x in counts.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
+        got = [x or 0.0 for x in weighed.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         prior = [min(max((a + 1) / (a + b + 2), 0.05), 0.95) for a, b in zip(got[:2 * len(KINDS):2], got[1:2 * len(KINDS):2])]
         odds = F.element_at(F.array(*[F.lit(_logit(x)) for x in prior]), F.col("kind") + 1)
         at = 2 * len(KINDS)
