@@ -91,7 +91,8 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     grids = [_signed(sum(c)) for c in itertools.combinations(blocks, AGREE)]
     code = _unary(F.col("fp"))
     # a cell goes by a hash of grid and coordinates: two cells of one hash only add pairs to verify
-    cells = (classes.repartition("fp").select("fp", "n", code.alias("code"))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows now, many after the explode
+    cells = (classes.repartition(tasks, "fp").select("fp", "n", code.alias("code"))
              .select("fp", "n", F.explode(F.array(*[
                  F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(grids)])).alias("cell")))
     leaders = (cells.groupBy("cell").agg(F.max(F.struct("n", "fp"))["fp"].alias("leader"), F.count("*").alias("size"))
