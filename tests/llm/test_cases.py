@@ -239,6 +239,21 @@ def test_vectors_across_partition_borders(spark):
     assert {(r.vec_id, r.n_links) for r in got} == {(i, sum(i in p for p in links)) for i in range(120)}
 
 
+def test_vectors_in_a_crowd(spark):
+    """Pairs of cosine 0.982 in a label whose vectors all have a cosine of about 0.95."""
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = lambda x, c: unit(c * x + np.sqrt(1 - c * c) * unit((r := rng.standard_normal(x.shape)) - (r * x).sum(-1, keepdims=True) * x))
+    x = near(np.repeat(unit(rng.standard_normal((1, 64))), 4000, 0), np.sqrt(0.95))
+    x[2000:2300] = near(x[:300], 0.982)
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(x)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), passes=2, window=2).collect()
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    root, n = components(range(4000), zip(a.tolist(), b.tolist())), np.bincount([*a, *b], minlength=4000)
+    assert len(a) >= 300 and len(got) == 4000
+    assert all((r.n_links, r.component_id, r.kept) == (n[r.vec_id], root[r.vec_id], root[r.vec_id] == r.vec_id) for r in got)
+
+
 # --- decontamination
 
 def brute_hits(rows, items):
