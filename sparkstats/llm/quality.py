@@ -10,7 +10,8 @@ calibrated, and the calibrated log odds of the views, less the prior that both
 contain, score every document.
 
 The fit uses bounded samples: at most ``LABELLED`` labelled and ``POOL``
-unlabelled documents, by least hash of the id. The scores cover all documents.
+unlabelled documents, by least hash of the id, and one row of each (the one of
+least hash). The scores cover all documents.
 
 Labels: a document is good if its quality is 1 and it is not toxic, bad if its
 quality is 0 or it is toxic, and unlabelled otherwise; several labels of an id
@@ -166,9 +167,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "good": b["good"], "text": [text_features(x) for x in b["body"]],
                                 "meta": [meta_features(*x) for x in zip(b["source"], b["lang"], b["n_chars"])]})
 
-    # the chosen ids are at most LABELLED + POOL rows
-    rows = docs.select(*_inputs(), "doc_id").join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInPandas(features, "doc_id long, good double, text array<int>, meta array<int>")
+    # the chosen ids are at most LABELLED + POOL rows; of an id's rows the one of least hash
+    # stays, so that no id weighs more than another
+    held = docs.select(*_inputs(), "doc_id").join(F.broadcast(chosen), "doc_id")
+    held = held.withColumn("_place", F.struct(F.xxhash64("body"), "source", "lang", "n_chars"))
+    rows = held.groupBy("doc_id").agg(F.min_by(F.struct("good", "body", "source", "lang", "n_chars"), "_place").alias("r"))
+    rows = rows.select("doc_id", "r.*").mapInPandas(features, "doc_id long, good double, text array<int>, meta array<int>")
     return stored(rows, "features").toPandas().sort_values("doc_id", kind="stable")
 
 

@@ -351,3 +351,12 @@ def test_quality_odd_cases(spark):
     for r in got:
         twice[r.text, r.source, r.lang, r.n_chars].add(r.score)
     assert all(len(s) == 1 for s in twice.values())
+
+
+def test_quality_sample_has_one_row_an_id(spark):
+    """An id with most of the rows gives one training row, by any partitioning."""
+    rows = [(5, f"text {i} of the hot id", "en", "a", i) for i in range(300)] + [(100 + i, f"text of {i}", "en", "a", 9) for i in range(20)]
+    labels = spark.createDataFrame([(5, 0, 0)] + [(100 + i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = [quality.training_rows(docs(spark, rows).repartition(p), labels) for p in (1, 7)]
+    assert all(sorted(g.doc_id) == [5, *range(100, 120)] for g in got)
+    assert [list(x) for x in got[0].text] == [list(x) for x in got[1].text]
