@@ -29,7 +29,8 @@ START_SAMPLE = 2000
 def _start_centres(points: DataFrame, cols: list, k: int, n_init: int, seed: int) -> np.ndarray:
     """(n_init, k, p): the first centre at random, each next one with probability
     by its squared distance from those before."""
-    rows = points.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(START_SAMPLE).collect()
+    distinct = points.select(*cols).distinct()  # before the sample: copies of a point share its hash
+    rows = distinct.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(START_SAMPLE).collect()
     x = np.unique(np.array([list(r) for r in rows], float), axis=0)
     if len(x) < k:
         raise ValueError(f"{len(x)} distinct points for {k} clusters")

@@ -75,6 +75,13 @@ def test_kmeans_does_not_depend_on_partitions(spark):
     assert sorted(sizes) == [300] * 4
 
 
+def test_kmeans_starts_from_distinct_points(spark):
+    """Points of very many copies take one place each among the candidates."""
+    df = spark.range(6 * 2500).selectExpr("CAST(id % 6 AS DOUBLE) AS a", "CAST(id % 6 AS DOUBLE) AS b")
+    centres = cluster._start_centres(df, ["a", "b"], 6, 2, 42)
+    assert [sorted(c[:, 0]) for c in centres] == [[0, 1, 2, 3, 4, 5]] * 2
+
+
 def test_lloyd_steps_match_numpy(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(500, 2))
