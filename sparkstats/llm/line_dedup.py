@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, text_of
+from .common import identity, stored, text_of
 
 
 def _windows(size: int) -> Column:
@@ -66,3 +66,76 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
                          "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
                              F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))}))
     return out.drop("_id", "_th", "_spans", "_gone")
+
+
+#: A piece: up to 12 words, ended earlier by a word whose last character is one of
+#: these, or by a line end. A piece is known by its own words, wherever a passage stands.
+CUT = ".!?;:gk"
+PIECE = rf"\s*+(?:\S++(?<![{CUT}])[^\S\n]++(?=\S)){{0,11}}+\S++\s*+"
+BLANK = " \n\t\r\x0b\x0c"
+#: A repeated run of pieces goes if it has this many words, or three whole lines.
+LEAST_WORDS = 20
+
+
+def piece_windows(docs: DataFrame) -> DataFrame:
+    """One row per two consecutive pieces: ``_id, _th, start, h1, h2``. A text of one
+    or two filled lines has a window of the whole of it, too (start -1)."""
+    words = F.transform(F.regexp_extract_all(text_of(), F.lit(PIECE), 0), lambda p: F.trim(p, F.lit(BLANK)))
+
+    def window(i: Column) -> Column:
+        parts = [F.get("_p", i), F.get("_p", i + 1)]
+        return F.struct(i.alias("start"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
+
+    lines = F.filter(F.transform(F.split(text_of(), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    whole = F.struct(F.lit(-1).alias("start"), F.xxhash64(F.lit("whole"), F.array_join("_l", "\n")).alias("h1"),
+                     F.xxhash64(F.lit("second"), F.lit("whole"), F.array_join("_l", "\n")).alias("h2"))
+    inner = F.when(F.size("_p") > 1, F.transform(F.sequence(F.lit(0), F.size("_p") - 2), window)).otherwise(F.array().cast("array<struct<start:int,h1:bigint,h2:bigint>>"))
+    short = F.when(F.size("_l").between(1, 2), F.array(whole)).otherwise(F.array().cast("array<struct<start:int,h1:bigint,h2:bigint>>"))
+    return (docs.select(*identity(), words.alias("_p"), lines.alias("_l"))
+            .select("_id", "_th", F.explode(F.concat(short, inner)).alias("w")).select("_id", "_th", "w.*"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the later occurrences of passages: all that ``dedup_lines``
+    removes, and repeated runs of ``LEAST_WORDS`` words in one or two lines or inside
+    a line. What goes stands at an earlier place, as there."""
+    windows = piece_windows(docs)
+    place = F.struct("_id", "_th", "start")
+    many = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = stored(windows.join(many, ["h1", "h2"]), "repeated-windows")
+    first = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    covered = (again.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+               .groupBy("_id", "_th").agg(F.array_sort(F.collect_set("start")).alias("_starts")))
+    s, raw = F.col("_inner"), F.col("_raw")
+    begins = F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) > 2))
+    ends = F.transform(F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) - x > 2)), lambda x: x + 1)
+
+    def run(r: Column) -> Column:
+        text = F.array_join(F.slice(raw, r["b"] + 1, r["e"] - r["b"] + 1), "")
+        bare = F.trim(text, F.lit(BLANK))
+        opens = (r["b"] == 0) | F.get(raw, r["b"] - 1).contains("\n")
+        closes = (r["e"] == F.size(raw) - 1) | F.get(raw, r["e"]).contains("\n")
+        lines = F.size(F.split(bare, r"\s*\n\s*")) - F.when(opens, 0).otherwise(1) - F.when(closes, 0).otherwise(1)
+        return F.struct(r["b"].alias("b"), r["e"].alias("e"), text.contains("\n").alias("broken"),
+                        ((F.size(F.split(bare, r"\s+")) >= LEAST_WORDS) | (lines >= 3)).alias("goes"))
+
+    spans = F.transform(F.arrays_zip(F.col("_begins").alias("b"), F.col("_ends").alias("e")), run)
+    runs = F.col("_runs")
+
+    def part(k: Column) -> Column:  # what stays before run k; a line end that went with the run stays
+        start = F.when(k == 0, 0).otherwise(F.get(runs, k - 1)["e"] + 1)
+        stop = F.when(k == F.size(runs), F.size(raw)).otherwise(F.get(runs, k)["b"])
+        text = F.array_join(F.slice(raw, start + 1, stop - start), "")
+        lost = F.coalesce(F.get(runs, k)["broken"], F.lit(False)) & (text != "") & ~text.endswith("\n")
+        return F.concat(text, F.when(lost, "\n").otherwise(""))
+
+    out = (docs.select("*", *identity()).join(covered, ["_id", "_th"], "left")
+           .withColumn("_raw", F.when(F.col("_starts").isNotNull(), F.regexp_extract_all(text_of(), F.lit(PIECE), 0)))
+           .withColumn("_inner", F.filter("_starts", lambda x: x >= 0))
+           .withColumns({"_begins": begins, "_ends": ends})
+           .withColumn("_runs", F.filter(spans, lambda r: r["goes"]))
+           .withColumn("text", F.when(F.col("_starts").isNull(), F.col("text"))
+                       .when(F.array_contains("_starts", -1), F.lit(""))
+                       .when(F.size("_runs") == 0, F.col("text"))
+                       .otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("_runs")), part), ""))))
+    return out.select(*docs.columns)

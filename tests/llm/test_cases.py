@@ -157,6 +157,28 @@ def test_line_dedup_odd_cases(spark):
     assert line_dedup.dedup_lines(docs(spark).limit(0)).count() == 0
 
 
+def test_passages_of_one_line_and_inside_lines(spark):
+    """Passages of over 50 words in one line, inside a line and over a line break go
+    from later documents; what dedup_lines removes, goes as well."""
+    rng = np.random.default_rng(23)
+    vocabulary = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 9))) for _ in range(3000)]
+    words = lambda k: " ".join(rng.choice(vocabulary, k))
+    p = [words(60) for _ in range(3)]
+    own = [words(30) for _ in range(30)]
+    rows = [(1, "\n".join([own[0], p[0], own[1], own[2] + " " + p[1] + " " + own[3], own[4] + " " + p[2] + " " + own[5]])),
+            (2, "\n".join([own[6], p[0], own[7], own[8]])), (3, "\n".join([own[9], own[10] + " " + p[1] + " " + own[11], own[12]])),
+            (4, own[13] + " " + p[2] + " " + own[14]), (5, "\n".join(own[15:19])), (6, "\n".join(["a", "b b", "c", own[19]])),
+            (7, "\n".join([own[20], "a", "b b", "c"])), (8, "a\nb b")]
+    rows = [(d, t, "en", "a", 0) for d, t in rows] + [(20 + r[0], *r[1:]) for r in ODD if r[0]]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(docs(spark, rows)).collect() if r.doc_id < 20}
+    assert got[1] == rows[0][1] and got[5] == rows[4][1] and got[8] == rows[7][1]
+    assert got[2] == "\n".join([own[6], own[7], own[8]]) and got[7] == own[20] + "\n"
+    for d, mine, there in ((3, own[9:13], p[1]), (4, own[13:15], p[2])):
+        left = got[d].split()
+        assert len(left) < sum(len(o.split()) for o in mine) + 30 and all(o[:20] in got[d] or o[-20:] in got[d] for o in mine)
+    assert line_dedup.dedup_passages(docs(spark).limit(0)).count() == 0
+
+
 # --- SimHash
 
 def near_copies(n, base=400):
