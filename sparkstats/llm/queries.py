@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, langid, line_dedup, mixing, pii, quality, simhash, url_rules
+from . import (chat, decontaminate, embedding_dedup, langid, line_dedup, mixing, pii, quality, simhash, url_rules, vector_codes, whiten,
+               winnow)
 from .common import read
 
 QUERIES, ORACLES = {}, {}
@@ -215,3 +216,55 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = langid.dictionaries(docs, ~held_out)
     out = langid.identified(docs, contents)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@registered("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's coordinates on the four leading components, whitened."""
+    return whiten.whitened(read(spark, sf_dir, "embeddings"), 4).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "residual")
+
+
+@registered("op12_winnowing")
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return winnow.edited_prints(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _assigned(name: str, book: str) -> str:
+    """SQL: the nearest entry of every part under a codebook."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, arg_min(j, d * 64 + j) AS j, min(d) AS d
+  FROM (SELECT v.vec_id, v.p, v.x, b.j, list_sum([(v.x[i] - b.c[i]) * (v.x[i] - b.c[i]) FOR i IN range(1, len(v.x) + 1)])::BIGINT AS d
+        FROM v JOIN {book} AS b USING (p)) GROUP BY vec_id, p)"""
+
+
+def _replaced(name: str, book: str, assigned: str) -> str:
+    """SQL: the codebook after a round."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM {book} AS b LEFT JOIN (
+    SELECT p, j, list(m ORDER BY i) AS c FROM (
+      SELECT p, j, i, floor(sum(x[i]) / count(*)::DOUBLE)::BIGINT AS m
+      FROM {assigned}, (SELECT DISTINCT unnest(range(1, len(x) + 1)) AS i FROM v) GROUP BY p, j, i) GROUP BY p, j) AS m USING (p, j))"""
+
+
+CODES_SQL = r"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, [floor(256 * e::DOUBLE)::BIGINT FOR e IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM k, range(16) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, j, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),""" + (
+    _assigned("a0", "b0") + "," + _replaced("b1", "b0", "a0") + "," + _assigned("a1", "b1") + "," + _replaced("b2", "b1", "a1") + "," + _assigned("a2", "b2")) + r""",
+e AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS h FROM b2)
+SELECT e.vec_id, e.code, e.error, (sum(e.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, s.h AS codebooks_sha256
+FROM e JOIN k USING (vec_id), s"""
+
+
+@registered("op13_vector_codes", CODES_SQL)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of 16 parts, its error and its label's."""
+    return vector_codes.encoded(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")

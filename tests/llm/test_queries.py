@@ -20,7 +20,7 @@ def test_matches_sql(spark, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
 
