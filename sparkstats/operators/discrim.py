@@ -1,8 +1,8 @@
 """Linear discriminant analysis.
 
 One grouped aggregate over the rows gives per class n, sums and centred cross
-products (p(p+1)/2 expressions); whitening and the two SVDs run on the
-driver on p x p and k x p matrices. Projection and prediction are column
+products (p(p+1)/2 expressions); the eigenproblem runs on the driver on p x p and
+k x p matrices, so the number of classes is bounded (``MAX_CLASSES``). Projection and prediction are column
 expressions with the solved weights as literals.
 """
 
@@ -11,11 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Classes of a fit; each sends a row of p(p+1)/2 sums to the driver.
+MAX_CLASSES = 10_000
+
+
 @dataclass
 class LDAModel:
     features: list
@@ -42,7 +45,9 @@ def class_stats(df: DataFrame, label: str, features) -> tuple:
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(s).alias(f"_s{i}") for i, s in enumerate(shift)],
         *[F.sum(shift[i] * shift[j]).alias(f"_q{k}") for k, (i, j) in enumerate(pairs)]
-    ).collect()
+    ).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     rows.sort(key=lambda r: r[label])
     p = len(feats)
     classes = [r[label] for r in rows]
@@ -60,34 +65,36 @@ def class_stats(df: DataFrame, label: str, features) -> tuple:
 
 
 def lda_fit(df: DataFrame, label: str, features, tol: float = 1e-4) -> LDAModel:
-    """The SVD solver of the classical LDA, from sufficient statistics."""
-    classes, ns, means, sw = class_stats(df, label, features)
-    n = float(ns.sum())
-    k = len(classes)
-    priors = ns / n
-    xbar = priors @ means
-    std = np.sqrt(np.diag(sw) / n)
-    std[std == 0] = 1.0
-    # X_ = sqrt(1/(n-k)) * Xc / std ; X_'X_ = D^-1 Sw D^-1 / (n - k)
-    c = sw / np.outer(std, std) / (n - k)
-    evals, evecs = np.linalg.eigh(c)
-    order = np.argsort(evals)[::-1]
-    evals, evecs = evals[order], evecs[:, order]
-    s = np.sqrt(np.clip(evals, 0, None))
-    rank = int(np.sum(s > tol))
-    scal = (evecs[:, :rank].T / std).T / s[:rank]
-    fac = 1.0 if k == 1 else 1.0 / (k - 1)
-    b = ((np.sqrt((n * priors) * fac)) * (means - xbar).T).T @ scal
-    _, s2, vt = np.linalg.svd(b, full_matrices=False)
-    evr = (s2 ** 2) / np.sum(s2 ** 2)
-    rank2 = int(np.sum(s2 > tol * s2[0]))
-    scalings = scal @ vt.T[:, :rank2]
-    cm = (means - xbar) @ scalings
-    intercept = -0.5 * np.sum(cm ** 2, axis=1) + np.log(priors)
-    coef = cm @ scalings.T
-    intercept = intercept - xbar @ coef.T
-    return LDAModel(list(features), classes, priors, means, xbar, scalings, coef, intercept,
-                    evr, int(n))
+    """Directions v that solve B v = lambda W v, for the scatter B of the class means
+    and the pooled within-class covariance W (divisor n - k), scaled to v'Wv = 1.
+
+    W is taken in units of the features' own spread, so that ``tol`` drops combinations
+    of features without spread whatever their scale; W-orthonormal coordinates turn the
+    problem into an ordinary symmetric one. A direction's sign is that of its largest weight.
+    """
+    classes, sizes, means, within = class_stats(df, label, features)
+    total, k = float(sizes.sum()), len(classes)
+    priors = sizes / total
+    centre = priors @ means
+    unit = np.sqrt(np.diag(within) / total)
+    unit[unit == 0] = 1.0
+    roots, axes = np.linalg.eigh(within / np.outer(unit, unit) / (total - k))
+    kept = np.flatnonzero(np.sqrt(np.clip(roots, 0, None)) > tol)[::-1]
+    to_sphere = axes[:, kept] / unit[:, None] / np.sqrt(roots[kept])
+    away = (means - centre) @ to_sphere
+    strength, turn = np.linalg.eigh((away * sizes[:, None]).T @ away / max(k - 1, 1))
+    strength, turn = np.clip(strength[::-1], 0, None), turn[:, ::-1]
+    told = np.sqrt(strength) > tol * np.sqrt(strength[0]) if len(strength) else np.zeros(0, bool)
+    directions = to_sphere @ turn[:, told]
+    if directions.size:
+        largest = np.abs(directions).argmax(0)
+        directions = directions * np.sign(directions[largest, np.arange(directions.shape[1])])
+    scores = (means - centre) @ directions
+    coef = scores @ directions.T
+    intercept = np.log(priors) - 0.5 * np.square(scores).sum(1) - coef @ centre
+    share = strength[:min(k, len(strength))]
+    return LDAModel(list(features), classes, priors, means, centre, directions, coef, intercept,
+                    share / share.sum() if share.sum() > 0 else share, int(total))
 
 
 def lda_transform(df: DataFrame, model: LDAModel, n_components: int = 2) -> DataFrame:
@@ -157,49 +164,3 @@ def data_fingerprint(df: DataFrame, label: str, features) -> str:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(
         F.col(label), *[F.round(F.col(c), 6) for c in features]).cast("decimal(38,0)"))).first()
     return f"{label}|{','.join(features)}|{row[0]}|{row[1]}"
-
-
-def save_model(model: LDAModel, spark, path: str, fingerprint: str = "") -> None:
-    """The model as two parquet tables (one row per class; one row of the rest)."""
-    typed = _class_type(model.classes)
-    rows = [(str(c) if typed == "string" else c, float(model.priors[k]), [float(x) for x in model.means[k]],
-             [float(x) for x in model.coef[k]], float(model.intercept[k]))
-            for k, c in enumerate(model.classes)]
-    classes = spark.createDataFrame(rows, f"class {typed}, prior double, mean array<double>, "
-                                    "coef array<double>, intercept double")
-    extra = spark.createDataFrame(
-        [(fingerprint, model.features, [float(x) for x in model.xbar],
-          [[float(x) for x in r] for r in model.scalings],
-          [float(x) for x in model.explained_variance_ratio], model.n)],
-        "fingerprint string, features array<string>, xbar array<double>, "
-        "scalings array<array<double>>, evr array<double>, n long")
-    classes.write.mode("overwrite").parquet(path + "/classes")
-    extra.write.mode("overwrite").parquet(path + "/model")
-
-
-def load_model(spark, path: str, fingerprint: str | None = None) -> LDAModel | None:
-    """The stored model; None if ``fingerprint`` is given and is not the stored one."""
-    m = spark.read.parquet(path + "/model").first()
-    if fingerprint is not None and m["fingerprint"] != fingerprint:
-        return None
-    cls = sorted(spark.read.parquet(path + "/classes").collect(), key=lambda r: r["class"])
-    return LDAModel(list(m["features"]), [r["class"] for r in cls],
-                    np.array([r["prior"] for r in cls]), np.array([r["mean"] for r in cls]),
-                    np.array(m["xbar"]), np.array(m["scalings"]),
-                    np.array([r["coef"] for r in cls]), np.array([r["intercept"] for r in cls]),
-                    np.array(m["evr"]), int(m["n"]))
-
-
-def load_or_fit(spark, path: str, fit, fingerprint: str = ""):
-    """The stored model if it was fitted on data of this fingerprint; else fit,
-    store and load it. Only an absent path counts as absent: other errors rise."""
-    try:
-        found = load_model(spark, path, fingerprint)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = None
-    if found is None:
-        save_model(fit(), spark, path, fingerprint)
-        found = load_model(spark, path, fingerprint)
-    return found

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .formats import with_cell
 from .ordered import prefix_sums
 from .relate import matrix_pivot
 
@@ -129,10 +131,29 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
                    F.sum((F.col(label) != 1).cast("long")).alias("neg")))
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """V6: (threshold, fpr, tpr) for each distinct score, predicting positive when
-    score >= threshold; plus the (inf, 0, 0) start point."""
-    sc = score_counts(df, label, score)
+def binned_scores(df: DataFrame, label: str, score: str, bins: int = 1000) -> DataFrame:
+    """(score, pos, neg) per bin of scores, ``score`` the bin's least one: bins lie between quantiles
+    of a mergeable sketch (one aggregate, no sort), so a bin has about 1 / ``bins`` of the
+    rows, or is one heavy score. The table has ``bins`` + 1 rows at most."""
+    x = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    x = x.select(F.col(label).alias("label"), F.col(score).cast("double").alias("score"))
+    cuts = x.agg(F.percentile_approx("score", [i / bins for i in range(bins)], 20 * bins)).first()[0] or []
+    cuts = sorted(set(cuts))  # ``bins`` numbers
+    return (with_cell(x, "score", "bin", cuts).groupBy("bin").agg(F.min("score").alias("score"), F.sum((F.col("label") == 1).cast("long")).alias("pos"),
+                                           F.sum((F.col("label") != 1).cast("long")).alias("neg")).drop("bin"))
+
+
+def _score_table(df: DataFrame, label: str, score: str, method: str, bins: int) -> DataFrame:
+    if method not in ("exact", "sketch"):
+        raise ValueError(f"method is exact or sketch, not {method}")
+    return score_counts(df, label, score) if method == "exact" else materialize(binned_scores(df, label, score, bins), "score_bins")
+
+
+def roc_curve(df: DataFrame, label: str, score: str, method: str = "exact", bins: int = 1000) -> DataFrame:
+    """V6: (threshold, fpr, tpr) for each distinct score (``method`` "sketch": for each bin's least
+    one, where the point is exact), predicting positive when score >= threshold; plus
+    the (inf, 0, 0) start point."""
+    sc = _score_table(df, label, score, method, bins)
     r = prefix_sums(sc, [], "score", ["pos", "neg"])
     # positives with score >= threshold = total - those strictly below
     tpr = (F.col("pos_total") - F.col("pos_before")) / F.col("pos_total")
@@ -143,13 +164,17 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return pts.unionByName(start)
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """V7: area under the ROC curve = P(score_pos > score_neg) + 0.5 P(tie)."""
-    sc = score_counts(df, label, score)
+def auc(df: DataFrame, label: str, score: str, method: str = "exact", bins: int = 1000) -> DataFrame:
+    """V7: area under the ROC curve = P(score_pos > score_neg) + 0.5 P(tie). ``method`` "sketch" counts
+    rows of one bin as ties and adds ``error``, half the share of pairs within a bin, a bound of what
+    that can change."""
+    sc = _score_table(df, label, score, method, bins)
     r = prefix_sums(sc, [], "score", ["neg"])
     part = F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))
-    return r.agg((F.sum(part) / (F.sum("pos") * F.first("neg_total"))).alias("auc"),
-                 F.sum("pos").alias("n_pos"), F.first("neg_total").alias("n_neg"))
+    pairs = F.sum("pos") * F.first("neg_total")
+    more = [(F.sum(0.5 * F.col("pos") * F.col("neg")) / pairs).alias("error")] if method == "sketch" else []
+    return r.agg((F.sum(part) / pairs).alias("auc"),
+                 F.sum("pos").alias("n_pos"), F.first("neg_total").alias("n_neg"), *more)
 
 
 def class_table(df: DataFrame, label: str, score: str, cutoffs) -> DataFrame:

@@ -101,24 +101,48 @@ class OLSResult:
     extra: dict = field(default_factory=dict)
 
 
+#: Share of its own sum of squares that a column must keep after the columns before it.
+SWEEP_TOLERANCE = 1e-9
+#: Rows up to which the Durbin-Watson p-value is exact.
+EXACT_ROWS = 100
+
+
+def sweep(css: np.ndarray, idx: list, y: int, tol: float = SWEEP_TOLERANCE) -> tuple[np.ndarray, np.ndarray, float, list]:
+    """(coefficients, generalised inverse, residual sum of squares, aliased positions) of the columns ``idx``.
+
+    Columns enter in order; one whose rest after those before it is below ``tol`` of its
+    own sum of squares is aliased: its coefficient is 0 and its row and column of the inverse
+    vanish, so the estimates are those of the model without it."""
+    at = [*idx, y]
+    a = css[np.ix_(at, at)].astype(float).copy()
+    p, own, aliased = len(idx), np.diag(a).copy(), []
+    for k in range(p):
+        pivot = a[k, k]
+        if not pivot > tol * own[k] or own[k] <= 0:
+            aliased.append(k)
+            a[k, :] = a[:, k] = 0.0
+            continue
+        row, col = a[k].copy() / pivot, a[:, k].copy()
+        a -= np.outer(col, row)
+        a[k], a[:, k] = row, -col / pivot
+        a[k, k] = 1 / pivot
+    inverse = a[:p, :p]
+    return a[:p, p].copy(), (inverse + inverse.T) / 2, float(a[p, p]), aliased
+
+
 def _solve(css: np.ndarray, mean: np.ndarray, n: float, rows: int, idx: list, y: int,
            intercept: bool = True):
-    sxx = css[np.ix_(idx, idx)]
-    sxy = css[idx, y]
-    inv = np.linalg.pinv(sxx)
-    rank = int(np.linalg.matrix_rank(sxx)) if len(idx) else 0
-    b = inv @ sxy
-    sse = float(css[y, y] - b @ sxy)
-    k = rank + (1 if intercept else 0)
-    return b, inv, max(sse, 0.0), k
+    b, inv, sse, aliased = sweep(css, idx, y)
+    k = len(idx) - len(aliased) + (1 if intercept else 0)
+    return b, inv, max(sse, 0.0), k, aliased
 
 
 def ols_from_gram(g: Gram, y: str, xs, intercept: bool = True) -> OLSResult:
-    """OLS with intercept on the centred Gram matrix (rank-aware via pinv)."""
+    """OLS with intercept on the centred Gram matrix; aliased terms get 0 and no standard error."""
     pos = {c: i for i, c in enumerate(g.names)}
     idx = [pos[c] for c in xs]
     yi = pos[y]
-    b, inv, sse, k = _solve(g.css, g.mean, g.n, g.rows, idx, yi, intercept)
+    b, inv, sse, k, aliased = _solve(g.css, g.mean, g.n, g.rows, idx, yi, intercept)
     n = g.rows
     sst = float(g.css[yi, yi])
     dfe = n - k
@@ -129,6 +153,7 @@ def ols_from_gram(g: Gram, y: str, xs, intercept: bool = True) -> OLSResult:
     var_b0 = sigma2 * (1.0 / g.n + xbar @ inv @ xbar)
     coef = np.concatenate([[b0], b])
     se = np.sqrt(np.concatenate([[var_b0], var_b]))
+    se[[i + 1 for i in aliased]] = np.nan
     with np.errstate(divide="ignore", invalid="ignore"):
         t = coef / se
     p = np.array([dist.t_sf2(float(tv), dfe) if np.isfinite(tv) else float("nan") for tv in t])
@@ -144,7 +169,8 @@ def ols_from_gram(g: Gram, y: str, xs, intercept: bool = True) -> OLSResult:
     full[0, 1:] = full[1:, 0] = -(inv @ xbar)
     full[1:, 1:] = inv
     return OLSResult(["Intercept", *xs], coef, se, t, p, n, k, sse, sst, r2, adj, f_stat, f_p,
-                     math.sqrt(sigma2) if sigma2 == sigma2 else float("nan"), full)
+                     math.sqrt(sigma2) if sigma2 == sigma2 else float("nan"), full,
+                     {"aliased": [xs[i] for i in aliased]})
 
 
 def ols(df: DataFrame, y: str, xs, weight: str | None = None) -> tuple[OLSResult, Gram]:
@@ -153,8 +179,9 @@ def ols(df: DataFrame, y: str, xs, weight: str | None = None) -> tuple[OLSResult
 
 
 def coef_table(spark, res: OLSResult, g: Gram | None = None, y: str | None = None,
-               with_beta: bool = False, with_vif: bool = False) -> DataFrame:
-    """Tidy coefficient table: term, estimate, std_err, t_value, p_value[, std_beta, vif]."""
+               with_beta: bool = False, with_vif: bool = False, with_aliased: bool = False) -> DataFrame:
+    """Tidy coefficient table: term, estimate, std_err, t_value, p_value[, std_beta, vif, aliased].
+    An aliased term has estimate 0 and nulls."""
     rows = []
     sd = None
     if g is not None and y is not None:
@@ -171,8 +198,11 @@ def coef_table(spark, res: OLSResult, g: Gram | None = None, y: str | None = Non
         inv = np.linalg.pinv(r)
         vifs = {x: float(inv[i, i]) for i, x in enumerate(xs)}
     for i, term in enumerate(res.terms):
-        row = {"term": term, "estimate": float(res.coef[i]), "std_err": float(res.se[i]),
-               "t_value": float(res.t[i]), "p_value": float(res.p[i])}
+        gone = term in res.extra.get("aliased", [])
+        row = {"term": term, "estimate": float(res.coef[i])} | {
+            name: None if gone else float(v[i]) for name, v in (("std_err", res.se), ("t_value", res.t), ("p_value", res.p))}
+        if with_aliased:
+            row["aliased"] = gone
         if with_beta:
             row["std_beta"] = (0.0 if term == "Intercept"
                                else float(res.coef[i] * sd[term] / sd[y]))
@@ -184,6 +214,8 @@ def coef_table(spark, res: OLSResult, g: Gram | None = None, y: str | None = Non
         schema += ", std_beta double"
     if with_vif:
         schema += ", vif double"
+    if with_aliased:
+        schema += ", aliased boolean"
     return spark.createDataFrame(rows, schema)
 
 
@@ -239,21 +271,23 @@ def diagnostics(df: DataFrame, res: OLSResult, y: str, key: str) -> DataFrame:
 
 
 def type3_ss(g: Gram, y: str, effects: dict) -> list[dict]:
-    """Type III SS per effect (name -> list of its columns): SSE(without) - SSE(full)."""
+    """Type III SS per effect (name -> list of its columns): SSE(without) - SSE(full), which tests what
+    of the effect is estimable beside all others; its df are those that the effect adds to the rank,
+    and an effect that adds none has no test."""
     pos = {c: i for i, c in enumerate(g.names)}
     all_x = [c for cols in effects.values() for c in cols]
     full_idx = [pos[c] for c in all_x]
     yi = pos[y]
-    _, _, sse_full, k_full = _solve(g.css, g.mean, g.n, g.rows, full_idx, yi)
+    _, _, sse_full, k_full, _ = _solve(g.css, g.mean, g.n, g.rows, full_idx, yi)
     dfe = g.rows - k_full
     mse = sse_full / dfe
     out = []
     for name, cols in effects.items():
         red = [pos[c] for c in all_x if c not in cols]
-        _, _, sse_red, k_red = _solve(g.css, g.mean, g.n, g.rows, red, yi)
-        ss = sse_red - sse_full
+        _, _, sse_red, k_red, _ = _solve(g.css, g.mean, g.n, g.rows, red, yi)
         df_ = k_full - k_red
-        f = (ss / df_) / mse if df_ > 0 else float("nan")
+        ss = sse_red - sse_full if df_ > 0 else 0.0
+        f = (ss / df_) / mse if df_ > 0 else None
         out.append({"source": name, "df": df_, "ss3": ss, "mean_square": ss / df_ if df_ else None,
                     "f_value": f, "p_value": dist.f_sf(f, df_, dfe) if df_ > 0 else None})
     return out
@@ -310,10 +344,43 @@ def with_neighbors(df: DataFrame, key: str, cols) -> DataFrame:
                     *[f"_lead_{c}" for c in cols])
 
 
+def quadratic_ratio_cdf(eigenvalues: np.ndarray, d: float) -> float:
+    """P(sum v_i z_i^2 / sum z_i^2 <= d) for independent standard normal z_i: the characteristic
+    function of sum (v_i - d) z_i^2 inverted along the real line (Imhof's integral)."""
+    away = np.asarray(eigenvalues, float) - d
+    if not len(away) or not np.abs(away).max() > 0:
+        return 1.0
+    away = away / np.abs(away).max()
+    if (away <= 0).all() or (away >= 0).all():
+        return 1.0 if (away <= 0).all() else 0.0
+    nodes, weights = np.polynomial.legendre.leggauss(64)
+    cuts = np.concatenate([[0], np.geomspace(1e-6, 1 - 1e-6, 40), 1 - np.geomspace(1e-6, 1e-12, 8)[1:], [1]])
+    cuts = np.unique(np.concatenate([cuts, 1 - np.geomspace(0.5, 1e-6, 40)]))
+    t = ((cuts[1:] - cuts[:-1])[:, None] * (nodes + 1) / 2 + cuts[:-1, None]).ravel()
+    w = ((cuts[1:] - cuts[:-1])[:, None] * weights / 2).ravel()
+    u = t / (1 - t)
+    turn = away[None, :] * u[:, None]
+    angle = 0.5 * np.arctan(turn).sum(1)
+    log_size = 0.25 * np.log1p(turn * turn).sum(1)
+    area = (w * np.sin(angle) * np.exp(-log_size) / (u * (1 - t) ** 2)).sum()
+    return float(np.clip(0.5 - area / np.pi, 0, 1))
+
+
+def durbin_watson_exact(d: float, x: np.ndarray) -> float:
+    """P(d' <= d) under independent normal errors for the design x (rows in order, intercept included)."""
+    n = len(x)
+    q = np.linalg.qr(x)[0]
+    q = q[:, np.abs(q).sum(0) > 0]
+    outside = np.linalg.svd(np.eye(n) - q @ q.T)[0][:, :n - np.linalg.matrix_rank(x)]
+    steps = np.diff(outside, axis=0)
+    return quadratic_ratio_cdf(np.linalg.eigvalsh(steps.T @ steps), d)
+
+
 def durbin_watson(df: DataFrame, res: OLSResult, y: str, key: str) -> dict:
-    """d = sum((e_t - e_{t-1})^2) / sum(e_t^2) in key order, with the
-    normal approximation to P(d <= observed) (alternative: positive
-    autocorrelation).
+    """d = sum((e_t - e_{t-1})^2) / sum(e_t^2) in key order, with
+    P(d <= observed) (alternative: positive autocorrelation): exact for fewer than ``EXACT_ROWS``
+    rows (the p-value of a table of that size is computed on the driver), else the
+    normal approximation.
 
     Moments of d under H0 use tr(X'AX G) and tr(X'A^2X G) (A = D'D): the Gram
     matrices of the first differences of X and of A X, in the same pass as
@@ -347,7 +414,12 @@ def durbin_watson(df: DataFrame, res: OLSResult, y: str, key: str) -> dict:
     qq = 2 * (3 * n - 4) - 2 * np.trace(xa2x @ gm) + np.trace(m1 @ m1)
     e = pp / (n - kk)
     v = 2.0 / ((n - kk) * (n - kk + 2)) * (qq - pp * e)
-    pval = dist.norm_cdf((d - e) / math.sqrt(v)) if v > 0 else float("nan")
+    if n < EXACT_ROWS:
+        rest = [c for c in cc.columns if c != key]
+        rows = cc.orderBy(key, *rest).select(*xs).limit(EXACT_ROWS).collect()
+        pval = durbin_watson_exact(d, np.array([list(r) for r in rows], float))
+    else:
+        pval = dist.norm_cdf((d - e) / math.sqrt(v)) if v > 0 else float("nan")
     return {"dw": float(d), "n": int(n), "k": int(kk), "expected": float(e),
             "p_value": float(pval)}
 

@@ -1,20 +1,25 @@
-"""Logistic regression (M3, M4, M5, V9) on MLlib's distributed L-BFGS.
+"""Logistic regression (M3, M4, M5, V9) by Newton steps as Spark aggregates.
 
-Class balancing is a weight column joined from the 2-row class-count table.
-Standard errors of the unpenalised fit come from the weighted information
-matrix sum(w p (1-p) x x'), one aggregate of p(p+1)/2 expressions.
+A step is one pass over the stored features: each task adds up the weighted loss, its
+gradient and the information matrix sum(w p (1-p) x x') on Arrow batches, and Spark adds the
+tasks up; the driver solves a p x p system. The same matrix gives the standard
+errors. Class balancing is a weight per class, from one count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..session import materialize
 from .encode import apply_scaler, scaler_table
+from .relate import small_side
 from .sampling import stratified_split
 
 # Feature lists of the two cancellation models.
@@ -30,15 +35,87 @@ def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     wt = counts.crossJoin(F.broadcast(tot)).select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(wt), label)  # one row per class
+    return df.join(small_side(wt), label)
+
+
+@dataclass
+class LogisticFit:
+    """Coefficients (intercept first), the information matrix there, the weighted log loss
+    (with its penalty) and the greatest entry of its gradient per unit of weight."""
+    coef: np.ndarray
+    information: np.ndarray
+    loss: float
+    gradient: float
+    steps: int
+    converged: bool
 
 
-def _fit(df: DataFrame, features, label, weight, reg: float, max_iter: int = 200):
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight,
-                            regParam=reg, elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-6)
-    return lr.fit(vec)
+def newton(rows: DataFrame, label: str, features, weights: dict, penalty: float = 0.0, max_iter: int = 60,
+           tol: float = 1e-10) -> LogisticFit:
+    """Minimise sum w loss + penalty / 2 |b|^2 (the intercept is free). weights: per label 0 and 1.
+
+    rows should be stored: every step reads its label and feature columns. A step that raises the
+    loss is halved; where the classes can be separated there is no minimum without a
+    penalty, and the fit stops at ``max_iter`` with ``converged`` false."""
+    feats = list(features)
+    p = len(feats) + 1
+    upper = np.triu_indices(p)
+    x = rows.select(F.col(label).cast("double").alias("y"), *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(feats)])
+    w0, w1 = float(weights[0]), float(weights[1])
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + p + len(upper[0]))
+            for f in frames:
+                y, z = f["y"].to_numpy(), np.column_stack([np.ones(len(f)), f.iloc[:, 1:].to_numpy(float)])
+                eta, w = z @ b, np.where(f["y"].to_numpy() == 1, w1, w0)
+                prob = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                total[0] += (w * (np.logaddexp(0, eta) - y * eta)).sum()
+                total[1:1 + p] += z.T @ (w * (prob - y))
+                total[1 + p:] += ((z * (w * prob * (1 - prob))[:, None]).T @ z)[upper]
+            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+
+        got = np.zeros(1 + p + len(upper[0]))
+        for r in x.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            got[r["at"]] = r["v"]
+        hessian = np.zeros((p, p))
+        hessian[upper] = got[1 + p:]
+        return got[0], got[1:1 + p], hessian + np.triu(hessian, 1).T
+
+    ridge = np.diag([0.0] + [penalty] * (p - 1))
+    counts = {int(r["y"]): r["n"] for r in x.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mass = w0 * counts.get(0, 0) + w1 * counts.get(1, 0)
+    if not counts.get(0) or not counts.get(1) or len(counts) > 2:
+        raise ValueError(f"labels 0 and 1 are needed, found {sorted(counts)}")
+    b = np.zeros(p)
+    b[0] = np.log(w1 * counts[1] / (w0 * counts[0]))
+    loss, gradient, information = at(b)
+    steps, converged = 0, False
+    for steps in range(1, max_iter + 1):
+        slope = gradient + ridge @ b
+        unit = np.sqrt(np.maximum(np.diag(information + ridge), 1e-300))
+        if (np.abs(slope) / unit).max() <= tol * np.sqrt(mass):
+            converged = True
+            break
+        # in units of the curvature, so that features of any scale meet one rank tolerance
+        move = -np.linalg.pinv((information + ridge) / np.outer(unit, unit), rcond=1e-12, hermitian=True) @ (slope / unit) / unit
+        whole = loss + 0.5 * b @ ridge @ b
+        for half in range(30):
+            trial = b + move / 2 ** half
+            new = at(trial)
+            if new[0] + 0.5 * trial @ ridge @ trial <= whole * (1 + 1e-14):
+                break
+        b, (loss, gradient, information) = trial, new
+    return LogisticFit(b, information, loss + 0.5 * b @ ridge @ b, float(np.abs(gradient + ridge @ b).max() / mass), steps, converged)
+
+
+def class_weights(rows: DataFrame, label: str) -> tuple[dict, int]:
+    """Balanced weights of labels 0 and 1, and the number of rows."""
+    counts = {int(r[0]): r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).limit(3).collect()}
+    if set(counts) != {0, 1}:
+        raise ValueError(f"labels 0 and 1 are needed, found {sorted(counts)}")
+    n = counts[0] + counts[1]
+    return {k: n / (2 * c) for k, c in counts.items()}, n
 
 
 def linear_score(features, coef, intercept) -> Column:
@@ -63,16 +140,15 @@ def logistic_balanced(df: DataFrame, label: str, key: str, features=LR_FEATURES,
     train = split.where(F.col("is_train") == 1)
     test = split.where(F.col("is_train") == 0)
     st = scaler_table(train, feats, ddof=0)
-    train_s = balanced_weights(apply_scaler(train, st, feats), label)
+    train_s = materialize(apply_scaler(train, st, feats).select(label, *feats), "lr_train")
     test_s = apply_scaler(test, st, feats)
-    n_train = train_s.count()
-    model = _fit(train_s, feats, label, "_w", 1.0 / (c * n_train))
-    coef = model.coefficients.toArray()
-    b0 = model.intercept
+    weights, n_train = class_weights(train_s, label)
+    fit = newton(train_s, label, feats, weights, 1.0 / c)
+    coef, b0 = fit.coef[1:], float(fit.coef[0])
     scored = score(test_s, feats, coef, b0).withColumn(
         "pred", (F.col("prob") >= 0.5).cast("int"))
-    return {"features": feats, "coef": coef, "intercept": b0, "test": scored,
-            "n_train": n_train}
+    return {"features": feats, "coef": coef, "intercept": b0, "test": scored, "raw_test": test,
+            "n_train": n_train, "scale": st, "train": train_s, "fit": fit, "weights": weights}
 
 
 def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK,
@@ -86,22 +162,12 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     if key:  # the split is stored: the passes below and the hold-out read it
         split = stratified_split(sub, label, key, train_frac, seed)
         sub, holdout = split.where(F.col("is_train") == 1), split.where(F.col("is_train") == 0)
-    w = balanced_weights(sub, label)
-    model = _fit(w, feats, label, "_w", 0.0)
-    coef = model.coefficients.toArray()
-    b0 = model.intercept
-    eta = linear_score(feats, coef, b0)
-    pr = 1.0 / (1.0 + F.exp(-eta))
-    v = F.col("_w") * pr * (1 - pr)
-    xs = [F.lit(1.0)] + [F.col(f).cast("double") for f in feats]
-    p = len(xs)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    agg = w.agg(*[F.sum(v * xs[i] * xs[j]).alias(f"_i{k}") for k, (i, j) in enumerate(pairs)]
-                ).first()
-    info = np.zeros((p, p))
-    for k, (i, j) in enumerate(pairs):
-        info[i, j] = info[j, i] = agg[f"_i{k}"]
-    cov = np.linalg.pinv(info)
+    sub = materialize(sub, "lr_unpenalised")
+    weights, _ = class_weights(sub, label)
+    w = sub.withColumn("_w", F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]))
+    fit = newton(sub, label, feats, weights)
+    coef, b0 = fit.coef[1:], float(fit.coef[0])
+    cov = np.linalg.pinv(fit.information)
     est = np.concatenate([[b0], coef])
     se = np.sqrt(np.diag(cov))
     wald = (est / se) ** 2
@@ -109,7 +175,7 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     rows = [(t, float(e), float(s), float(wd), float(pp))
             for t, e, s, wd, pp in zip(["Intercept", *feats], est, se, wald, pv)]
     return {"features": feats, "coef": coef, "intercept": b0, "rows": rows, "train": w,
-            "holdout": holdout}
+            "holdout": holdout, "fit": fit, "weights": weights}
 
 
 def coef_importance(spark, features, coef, pvalues=None, top: int = 15) -> DataFrame:

@@ -21,15 +21,34 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def in_order(rows: DataFrame, keys: list, tag: str) -> DataFrame:
-    """``rows`` range-partitioned and sorted by ``keys`` and stored, with ``_seq``
-    (ascending in that order) and ``_part`` (its partition). Rows that tie in all
-    keys must be interchangeable."""
-    return materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def in_order(rows: DataFrame, keys: list, tag: str, partitions: int | None = None) -> DataFrame:
+    """``rows`` range-partitioned (the session's number of partitions, unless given) and
+    sorted by ``keys`` and stored, with ``_seq`` (ascending in that order) and ``_part``
+    (its partition). Rows that tie in all keys must be interchangeable."""
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    return materialize(ranged.sortWithinPartitions(*keys)
                        .withColumn("_seq", F.monotonically_increasing_id())
                        .withColumn("_part", F.shiftright("_seq", 33)), tag)
 
 
+def without_nan(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with NaN as null in the named columns of floating type."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in dict.fromkeys(cols) if kinds.get(c) in ("double", "float")})
+
+
+def join_by(left: DataFrame, right: DataFrame, by: list, how: str = "inner") -> DataFrame:
+    """Join on the columns ``by`` with null equal to null, keeping the left side's; without
+    columns, ``right`` is a one-row table."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    other = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return left.join(other, on, how).drop(*[f"_by_{c}" for c in by])
+
+
 def prefix_sums(rows: DataFrame, by: list, value: str, weights: list) -> DataFrame:
     """For rows unique on (by, value): add ``<w>_before`` (sum of w over smaller
     values in the same group) and ``<w>_total`` (group sum) for each weight w."""
@@ -50,7 +69,7 @@ def prefix_sums(rows: DataFrame, by: list, value: str, weights: list) -> DataFra
             F.lit(0))
         cols[f"{w}_total"] = F.sum(f"_{w}_pt").over(grp)
     totals = totals.withColumns(cols).drop(*[f"_{w}_pt" for w in weights])
-    out = b.join(totals, [*by, "_part"])
+    out = join_by(b, totals, [*by, "_part"])
     out = out.withColumns({f"{w}_before": F.col(f"_{w}_off") + F.col(f"_{w}_in")
                            for w in weights})
     return out.drop("_seq", "_part", *[f"_{w}_in" for w in weights],
@@ -69,18 +88,15 @@ def row_positions(df: DataFrame, by: list, order: list, tag: str = "positions")
     counts = counts.withColumns({
         "_before": F.coalesce(F.sum("_n").over(grp.orderBy("_part").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)),
-        "_total": F.sum("_n").over(grp)}).withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_part"]})
-    on = F.col("_part") == F.col("_by__part")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return (b.join(counts, on)
+        "_total": F.sum("_n").over(grp)})
+    return (join_by(b, counts, [*by, "_part"])
             .withColumn("_pos", F.col("_before") + F.col("_seq") - F.col("_first") + 1)
-            .drop("_seq", "_part", "_n", "_first", "_before", *[f"_by_{c}" for c in [*by, "_part"]]))
+            .drop("_seq", "_part", "_n", "_first", "_before"))
 
 
 def value_counts(df: DataFrame, col: str, by=()) -> DataFrame:
-    """Distinct (by, value) with their row count ``_n``; nulls dropped."""
-    return (df.where(F.col(col).isNotNull()).groupBy(*by, col)
+    """Distinct (by, value) with their row count ``_n``; null and NaN values dropped, null groups kept."""
+    return (without_nan(df, col).where(F.col(col).isNotNull()).groupBy(*by, col)
               .agg(F.count(F.lit(1)).alias("_n")))
 
 
@@ -118,8 +134,22 @@ def quantiles_from_counts(counts: DataFrame, col: str, probs, by=(),
                       val.alias(value_name))
 
 
-def quantiles_wide(df: DataFrame, col: str, probs, names, by=()) -> DataFrame:
-    """Exact quantiles as one column per probability: (by..., names...)."""
+def quantiles_sketched(df: DataFrame, col: str, probs, names, by=(), accuracy: int = 10_000) -> DataFrame:
+    """Approximate quantiles by a mergeable quantile sketch: one aggregate per group, no sort.
+
+    A value for probability p has a rank within n / ``accuracy`` of p * n (n: rows of the
+    group), whatever the order of the merges; it is one of the values, not interpolated."""
+    q = F.percentile_approx(F.col(col).cast("double"), [float(p) for p in probs], accuracy)
+    return (without_nan(df, col).where(F.col(col).isNotNull()).groupBy(*by).agg(q.alias("_q"))
+            .select(*by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)]))
+
+
+def quantiles_wide(df: DataFrame, col: str, probs, names, by=(), method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+    """Quantiles as one column per probability: (by..., names...); exact, or by ``method`` "sketch"."""
+    if method == "sketch":
+        return quantiles_sketched(df, col, probs, names, by, accuracy)
+    if method != "exact":
+        raise ValueError(f"method is exact or sketch, not {method}")
     long = quantiles_long(df, col, probs, by)
     return long.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob_index") == i, F.col("value"))).alias(n)
@@ -133,10 +163,10 @@ def stacked(df: DataFrame, cols, name="column", value="value", by=()) -> DataFra
         for c in cols])).alias("_kv")).select(*by, f"_kv.{name}", f"_kv.{value}")
 
 
-def multi_quantiles(df: DataFrame, cols, probs, names, by=()) -> DataFrame:
+def multi_quantiles(df: DataFrame, cols, probs, names, by=(), method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Quantiles of several columns at once: (by..., column, names...)."""
     long = stacked(df, cols, by=by)
-    return quantiles_wide(long, "value", probs, names, by=[*by, "column"])
+    return quantiles_wide(long, "value", probs, names, [*by, "column"], method, accuracy)
 
 
 def row_ranks(df: DataFrame, col: str, by=()) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact-size reproducible sampling and stratified splitting (SA*).
 
 Order of a row = md5('<seed>:<key>'), then key, then all other columns, so rows
-of a repeated key are cut one by one. The n smallest rows form the sample. A
+of a repeated (or null) key are cut one by one. The n smallest rows form the sample. A
 global ``orderBy().limit(n)`` would merge partitions x n rows in one task, so
 instead: a uniform 60-bit prefix of the hash pre-filters to about n + 6 standard
 deviations candidates (one count), and ``ordered.row_positions`` numbers those.
@@ -21,9 +21,10 @@ _SPAN = float(2 ** 60)
 
 
 def hash_order(key, seed: int = 42) -> Column:
-    """md5 of '<seed>:<key>' (hex string): the sampling order."""
+    """md5 of '<seed>:<key>' (hex string): the sampling order. A null key is hashed as
+    '<seed>?', which no key spells."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), k.cast("string")), F.lit(f"{seed}?")))
 
 
 def hash_unit(key, seed: int = 42) -> Column:

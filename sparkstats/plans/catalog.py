@@ -63,5 +63,5 @@ def query(name: str, sql: str | None = None, rounded=None, digits: int = 6):
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
     from . import (flight_queries, model_queries, more_queries, profile_queries,  # noqa: F401
-                   report_queries, stat_queries)
+                   report_queries, scale_queries, stat_queries)
     return REGISTRY

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions import derive, labels
-from ..operators import clean, cluster, discrim, encode, evaluate, linear, logistic, stats
+from ..operators import clean, cluster, discrim, encode, evaluate, linear, logistic, model_store, stats
 from ..sources.flights import flights
 from ..session import checkpoint_path, materialize
 from .catalog import query
@@ -315,21 +315,30 @@ def q_lr_score(spark, sf):
     return evaluate.auc(s, "cancelled", "prob")
 
 
+def _stored_path(spark, sf, name: str) -> str:
+    return checkpoint_path(spark, f"models/{name}_{hashlib.md5(sf.encode()).hexdigest()}")
+
+
+def _delay_tiers(spark, sf):
+    """Cleaned flights and their clustering: one stored fit for every query on these data."""
+    rows = materialize(clean.load_clean(flights(spark, sf)).select("flight_key", *cluster.CLUSTER_FEATURES), "kmeans_input")
+    model = model_store.load_or_fit(spark, _stored_path(spark, sf, "delay_tiers"),
+                                    lambda: model_store.of_kmeans(cluster.fit_kmeans(rows)),
+                                    model_store.data_fingerprint(rows, cluster.CLUSTER_FEATURES))
+    return rows, model_store.kmeans(model)
+
+
 @query("kmeans_tiers")
 def q_kmeans(spark, sf):
     """M1 + A19: best of 10 seeded k-means runs (k = 4) on scaled features,
     tiers ordered by mean arrival delay; per-tier means."""
-    sub = clean.load_clean(flights(spark, sf)).select(*cluster.CLUSTER_FEATURES)
-    c = cluster.kmeans_tiers(materialize(sub, "kmeans_input"))
-    return cluster.cluster_summary(c)
+    return cluster.cluster_summary(cluster.with_tiers(*_delay_tiers(spark, sf)))
 
 
 @query("kmeans_rows")
 def q_kmeans_rows(spark, sf):
-    """Every clustered row with its tier, for the scatter plot."""
-    sub = clean.load_clean(flights(spark, sf)).select("flight_key", *cluster.CLUSTER_FEATURES)
-    c = cluster.kmeans_tiers(materialize(sub, "kmeans_rows_input"), n_init=3)
-    return c.select("flight_key", "distance", "arr_delay", "cluster")
+    """Every clustered row with its tier, for the scatter plot (the tiers of ``kmeans_tiers``)."""
+    return cluster.with_tiers(*_delay_tiers(spark, sf)).select("flight_key", "distance", "arr_delay", "cluster")
 
 
 @query("kmeans_operated")
@@ -341,6 +350,41 @@ def q_kmeans_op(spark, sf):
     return cluster.cluster_summary(c)
 
 
+# Starting centres (arr_delay, distance) of the run that SQL repeats.
+FIXED_STARTS = [[-20.0, 500.0], [40.0, 1500.0], [100.0, 2500.0]]
+FIXED_STEPS = 6
+
+
+def _fixed_start_sql() -> str:
+    """The same Lloyd steps, one CTE a step: features in units of their spread, ties to the first centre."""
+    steps = [f"""
+  , s AS (SELECT avg(arr_delay) AS ma, stddev_pop(arr_delay) AS sa, avg(distance) AS md, stddev_pop(distance) AS sd FROM flights
+          WHERE arr_delay IS NOT NULL AND distance IS NOT NULL),
+  p AS (SELECT (arr_delay - ma) / sa AS x, (distance - md) / sd AS y, count(*) AS w FROM flights, s
+        WHERE arr_delay IS NOT NULL AND distance IS NOT NULL GROUP BY 1, 2),
+  c0 AS (SELECT j, (a - ma) / sa AS x, (d - md) / sd AS y FROM s, (VALUES {', '.join(f'({j}, {a}, {d})' for j, (a, d) in enumerate(FIXED_STARTS))}) AS v(j, a, d))"""]
+    near = "SELECT p.x, p.y, p.w, arg_min(c.j, (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) AS j, min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) AS far FROM p, c{} AS c GROUP BY 1, 2, 3"
+    for t in range(1, FIXED_STEPS + 1):
+        steps.append(f"""
+  c{t} AS (SELECT c.j, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{t - 1} AS c LEFT JOIN (
+    SELECT j, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y FROM ({near.format(t - 1)}) GROUP BY j) AS m USING (j))""")
+    return ",".join(steps) + f"""
+  , f AS ({near.format(FIXED_STEPS)})
+  SELECT (row_number() OVER (ORDER BY sum(w * x) / sum(w)) - 1)::INTEGER AS cluster, sum(w)::BIGINT AS n, sum(w * (x * sa + ma)) / sum(w) AS arr_delay,
+         sum(w * (y * sd + md)) / sum(w) AS distance, sum(sum(w * far)) OVER () AS cost
+  FROM f, s GROUP BY j"""
+
+
+@query("kmeans_fixed_start", _sql(_fixed_start_sql()), rounded=["arr_delay", "distance", "cost"], digits=6)
+def q_kmeans_fixed(spark, sf):
+    """M1 from given starting centres and a fixed number of steps: sizes, means and cost per tier."""
+    feats = ["arr_delay", "distance"]
+    rows = materialize(flights(spark, sf).select(*feats), "kmeans_fixed_input")
+    fit = cluster.fit_kmeans(rows, feats, k=3, max_iter=FIXED_STEPS, starts=[FIXED_STARTS], tol=0.0)
+    return cluster.with_tiers(rows, fit).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in feats], F.first("_cost").alias("cost"))
+
+
 # --- discriminant analysis on the flights (class = order priority) -----------------
 
 LDA_FEATURES = ["dep_delay", "arr_delay", "distance", "air_time"]
@@ -414,8 +458,8 @@ def q_lda_stored(spark, sf):
     """Store the model (unless one of the same data is there), load it, then
     predict (V9)."""
     data = _lda_data(spark, sf)
-    path = checkpoint_path(spark, "models/lda_priority_" + hashlib.md5(sf.encode()).hexdigest())
-    m = discrim.load_or_fit(spark, path,
-                            lambda: discrim.lda_fit(data, "o_orderpriority", LDA_FEATURES),
-                            discrim.data_fingerprint(data, "o_orderpriority", LDA_FEATURES))
-    return discrim.lda_predict(data, m).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
+    model = model_store.load_or_fit(
+        spark, _stored_path(spark, sf, "lda_priority"),
+        lambda: model_store.of_lda(discrim.lda_fit(data, "o_orderpriority", LDA_FEATURES), "o_orderpriority"),
+        discrim.data_fingerprint(data, "o_orderpriority", LDA_FEATURES))
+    return model_store.apply(data, model).groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-collect_ignore = [] if os.environ.get("COUNTRY_DATA_DIR") else ["test_country_golden.py"]
 
 SF_SMALL = "/root/testdata/sf0.001"
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkstats.operators import discrim, evaluate, stats
+from sparkstats.operators import discrim, model_store, evaluate, stats
 from sparkstats.plans import country
 from sparkstats.sources.io import coerce_schema, read_csv_table, write_table
 
@@ -101,13 +101,14 @@ def test_discriminant(merged, clean):
 def test_stored_model_in_two_processes(spark, merged, tmp_path):
     p = country.processed(merged)
     path, mark = str(tmp_path / "m"), discrim.data_fingerprint(p, "Income_group_encoded", country.INDICATOR_COLS)
-    m = discrim.load_or_fit(spark, path, lambda: discrim.lda_fit(p, "Income_group_encoded", country.INDICATOR_COLS), mark)
-    assert m.classes == [0, 1, 2, 3] and all(type(c) is int for c in m.classes)
-    again = discrim.load_or_fit(spark, path, lambda: pytest.fail("fitted again"), mark)
-    assert np.array_equal(m.coef, again.coef)
-    assert discrim.load_model(spark, path, "other data") is None
-    code = ("from sparkstats.session import local_session\nfrom sparkstats.operators import discrim\n"
-            f"m = discrim.load_model(local_session(1), {path!r}, {mark!r})\nprint('CLASSES', m.classes)\n")
+    fit = discrim.lda_fit(p, "Income_group_encoded", country.INDICATOR_COLS)
+    m = model_store.load_or_fit(spark, path, lambda: model_store.of_lda(fit, "Income_group_encoded"), mark)
+    assert model_store.lda(m).classes == [0, 1, 2, 3] and all(type(c) is int for c in model_store.lda(m).classes)
+    again = model_store.load_or_fit(spark, path, lambda: pytest.fail("fitted again"), mark)
+    assert np.array_equal(fit.coef, again.arrays["coef"]) and again.version == 1
+    assert model_store.load(spark, path, fingerprint="other data") is None
+    code = ("from sparkstats.session import local_session\nfrom sparkstats.operators import model_store\n"
+            f"m = model_store.load(local_session(1), {path!r}, 'lda', {mark!r})\nprint('CLASSES', model_store.lda(m).classes)\n")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert "CLASSES [0, 1, 2, 3]" in out.stdout

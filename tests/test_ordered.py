@@ -75,24 +75,44 @@ def test_kmeans_does_not_depend_on_partitions(spark):
     assert sorted(sizes) == [300] * 4
 
 
-def test_kmeans_starts_from_distinct_points(spark):
-    """Points of very many copies take one place each among the candidates."""
+def _points(df, cols):
+    return cluster.weighted_points(df, cols, {c: (0.0, 1.0) for c in cols})
+
+
+def test_kmeans_starts_weigh_copies(spark):
+    """Points of very many copies are one candidate each; every one of them is found."""
     df = spark.range(6 * 2500).selectExpr("CAST(id % 6 AS DOUBLE) AS a", "CAST(id % 6 AS DOUBLE) AS b")
-    centres = cluster._start_centres(df, ["a", "b"], 6, 2, 42)
+    points = _points(df, ["a", "b"])
+    assert points.count() == 6
+    centres = cluster.starting_centres(points, 6, 2, 42)
     assert [sorted(c[:, 0]) for c in centres] == [[0, 1, 2, 3, 4, 5]] * 2
+    with pytest.raises(ValueError, match="6 distinct points"):
+        cluster.starting_centres(points, 7, 2, 42)
+
+
+def test_kmeans_starts_see_rare_clusters(spark):
+    """A far cluster of 5 in 20,000 rows gets a start, whatever the partitioning."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(20_000, 2)), [500.0, 500.0] + 0.1 * rng.normal(size=(5, 2))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    got = [cluster.starting_centres(_points(df.repartition(p), ["a", "b"]), 3, 3, 1) for p in (1, 6)]
+    assert np.array_equal(got[0], got[1])
+    assert all((np.linalg.norm(c - 500, axis=1) < 1).sum() == 1 for c in got[0])
 
 
 def test_lloyd_steps_match_numpy(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(500, 2))
-    start = np.array([[[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]]])
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
-    got, cost = cluster.lloyd(df, ["a", "b"], start, 5, tol=0.0)
-    c = start[0].copy()
-    for _ in range(5):
-        own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
-        c = np.array([x[own == j].mean(0) for j in range(3)])
-    assert np.allclose(got[0], c) and np.isclose(cost[0], ((x[:, None] - c) ** 2).sum(2).min(1).sum())
+    start = np.array([[[0.0, 0.0], [1.0, 1.0], [-1.0, 1.0]], [[2.0, 0.0], [1.0, -1.0], [50.0, 50.0]]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [tuple(map(float, x[0]))] * 30, "a double, b double")
+    x = np.concatenate([x, [x[0]] * 30])
+    got, cost = cluster.lloyd(_points(df, ["a", "b"]), start, 5, tol=0.0)
+    for s in range(2):
+        c = start[s].copy()
+        for _ in range(5):
+            own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(3)])
+        assert np.allclose(got[s], c) and np.isclose(cost[s], ((x[:, None] - c) ** 2).sum(2).min(1).sum())
 
 
 def test_anderson_darling_with_heavy_tail(spark):
