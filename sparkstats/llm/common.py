@@ -3,8 +3,10 @@ intermediate tables, ASCII lower-casing and positions in a total order."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +94,20 @@ def positions(df: DataFrame, group: str, order: list[str], name: str) -> DataFra
     return (ordered.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")))
             .withColumn("_pos", F.col("_before") + F.col("_at") - F.col("_first") + 1)
             .drop("_at", "_part", "_group", "_in", "_first", "_before"))
+
+
+def carrying(*inputs: str) -> Callable:
+    """Decorator for an operator ``f(table, ...)`` that reads the columns ``inputs`` and passes the
+    others through: those travel under fresh names, so that no name of the caller's can meet one
+    of the operator's own. A column that the operator adds replaces a caller's of that name."""
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def run(table: DataFrame, *args, **options) -> DataFrame:
+            mark = uuid.uuid4().hex[:8]
+            away = {c: f"_carried{i}_{mark}" for i, c in enumerate(table.columns) if c not in inputs}
+            out = f(table.withColumnsRenamed(away), *args, **options)
+            added = set(out.columns) - set(away.values())
+            back = {fresh: c for c, fresh in away.items() if fresh in out.columns and c not in added}
+            return out.drop(*[fresh for c, fresh in away.items() if c in added]).withColumnsRenamed(back)
+        return run
+    return wrap
