@@ -13,7 +13,7 @@ texts and nothing but the text.
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; with no labelled text everything is; with one language its score is 0
 and nothing is rejected; ties go to the language that sorts first; labelled rows
-without an id do not train; an empty table gives an empty result; extra columns pass.
+without an id do not train; more than ``LANGUAGES`` labels raise ValueError; an empty table gives an empty result; extra columns pass.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carrying
+
 PIECES, PIECE = 128, 3000
 OVERSAMPLE = 8     # texts per slot that are looked at, on average
 REJECT = 0.01
 LEVEL = 3
+LANGUAGES = 200    # learned at most: each costs PIECES * PIECE characters and one compression of every text
 
 
 def letters(text: Column) -> Column:
@@ -40,6 +43,8 @@ def dictionaries(docs: DataFrame, training: Column) -> dict[str, bytes]:
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     h = F.xxhash64(F.lit("piece"), "doc_id")
     counts = rows.groupBy("lang").agg(F.count("*").alias("_of"))
+    if counts.limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn: clean the labels first")
     # a slot keeps the least hash; texts of hashes that are surely not the least are left out before the aggregate
     near = F.pmod(h, F.lit(1 << 30)) < F.greatest(F.lit(PIECES * OVERSAMPLE * float(1 << 30)) / F.col("_of"), F.lit(0.0))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))) + 1
@@ -52,6 +57,7 @@ def dictionaries(docs: DataFrame, training: Column) -> dict[str, bytes]:
     return {lang: " ".join(p).encode() for lang, p in sorted(out.items())}
 
 
+@carrying("doc_id", "text")
 def identified(docs: DataFrame, contents: dict[str, bytes]) -> DataFrame:
     """``docs`` with ``lang_pred, score, rejected``."""
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

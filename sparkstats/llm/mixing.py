@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, identity, positions, stored, text_of
+from .common import SPACED_WORD, carrying, identity, positions, stored, text_of
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -63,6 +63,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
                     F.least(crossed, F.ceil(rate)).cast("long").alias("copies")))
 
 
+@carrying("doc_id", "text", "source")
 def emitted(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: all columns of ``docs``, each document as many times as
     it is drawn, and ``copy`` (from 1). Repeated rows pool their copies."""

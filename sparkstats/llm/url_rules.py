@@ -2,7 +2,8 @@
 
 Every rule is a regular expression with the whole tokens that any matching url
 must hold. The tokens' frequencies over all urls pick each rule's rarest one;
-a url fetches the rules filed under its own tokens, and only those run.
+a url fetches the rules filed under its own tokens, and only those run. A rule without a
+literal token runs on every url.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and
 is allowed; repeated urls are judged once; an empty table gives an empty result;
@@ -17,11 +18,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, text_of
+from .common import ascii_lower, carrying, stored, text_of
 
 RULES_SCHEMA = "rule string, kind string, action string, pattern string, literals array<string>"
 #: Rules up to this many rows are broadcast; beyond it the token join shuffles.
 BROADCAST_RULES = 20_000
+#: No url's token: it holds a character that ends tokens.
+EVERY = "*"
 
 
 def site_rule(rule: str, action: str) -> tuple:
@@ -48,6 +51,7 @@ def host_and_path(url):
     return (ascii_lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1))
 
 
+@carrying("url")
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, patterns``: the longest
     fitting site rule decides; without one, any fitting pattern rule does, a
@@ -59,9 +63,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     # one row per distinct url; the work below never sees a repeated one
     urls = pages.select("url").filter(F.col("url").contains("://")).distinct().select(
         "url", F.concat(host, path).alias("_site"), ascii_lower(F.col("url")).alias("_low"))
-    tokens = urls.select("url", "_site", "_low", F.explode(F.array_distinct(
-        F.split(F.concat_ws(" ", "_low", F.lower("_site")), "[^0-9a-z]+"))).alias("_token"))
-    wanted = rules.select("rule", "kind", F.explode("literals").alias("_token"))
+    own = F.array_distinct(F.split(F.concat_ws(" ", "_low", F.lower("_site")), "[^0-9a-z]+"))
+    # rules without a literal are filed under a token that every url has then
+    bare = F.coalesce(F.size("literals"), F.lit(0)) <= 0
+    if rules.filter(bare).head(1):
+        own = F.array_union(own, F.array(F.lit(EVERY)))
+    tokens = urls.select("url", "_site", "_low", F.explode(own).alias("_token"))
+    wanted = rules.select("rule", "kind", F.explode(F.when(bare, F.array(F.lit(EVERY))).otherwise(F.col("literals"))).alias("_token"))
     seen = tokens.join(hint(wanted.select("_token").distinct()), "_token").groupBy("_token").agg(F.count("*").alias("_n"))
     rarest = (wanted.join(seen, "_token", "left").groupBy("rule", "kind")
               .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_token"))["_token"].alias("_token")))
