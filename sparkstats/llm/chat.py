@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from .common import text_of
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 PIECE_CHARS = 1 << 20   # a piece is closed once it holds this much text
-SEGMENT_CHARS = 1 << 14  # longer texts are encoded in parts, which bounds the encoder's work on one run
+DIRECT_CHARS = 1 << 17  # texts up to this length are encoded in one call
 
 
 def escape(text: str) -> str:
@@ -57,10 +58,28 @@ def tokenizer(path: str, pattern: str) -> tuple[tiktoken.Encoding, dict[str, int
             {START: first, SEP: first + 1, END: first + 2})
 
 
+@lru_cache(maxsize=4)
+def _splitter(pattern: str) -> regex.Pattern:
+    """The tokenizer's pattern with white space as Unicode defines it, as its own engine has it."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
 def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= SEGMENT_CHARS:
+    """The tokenizer's encoding of a text. Very long ones, on whose runs its engine may overflow, go
+    in groups of whole matches of its pattern, between which nothing is merged anyway."""
+    if len(text) <= DIRECT_CHARS:
         return enc.encode_ordinary(text)
-    return [i for at in range(0, len(text), SEGMENT_CHARS) for i in enc.encode_ordinary(text[at:at + SEGMENT_CHARS])]
+    ids: list[int] = []
+    start = end = 0
+    for m in _splitter(enc._pat_str).finditer(text):
+        if m.end() - start > DIRECT_CHARS and end > start:
+            ids += enc.encode_ordinary(text[start:end])
+            start = end
+        end = m.end()
+        if end - start > DIRECT_CHARS:  # one match
+            ids += enc._encode_single_piece(text[start:end])
+            start = end
+    return ids + enc.encode_ordinary(text[start:])
 
 
 def assemble(turns: list[tuple[str, str]], path: str, pattern: str, trained: str) -> tuple[list[int], list[int], str]:
