@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, identity, stored, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text that is not lower-cased yet, for counting.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A token that stands for a document and not for a shingle of it.
+MARK = 0
 #: A benchmark of up to this many distinct shingles (8 bytes each) is broadcast;
 #: a larger one meets the documents' shingles in a shuffled join.
 BROADCAST_SHINGLES = 2_000_000
@@ -36,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 
 def _hash(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(length)])
+    return F.xxhash64(F.lit(length), *[F.get(words, at + k) for k in range(length)])
 
 
 def _shingles(words: Column, length: int) -> Column:
@@ -61,27 +61,34 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> tuple[DataF
     return windows.withColumn("tokens", tokens), items
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(hits, items): every place ``_id, _th, start, n`` where a window ``wid``
-    stands in a document, and the items by window."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, items, sizes): every place ``_id, _th, start, n`` where a window ``wid``
+    stands in a document; the items by window; and ``doc_id, _id, _th, n_words`` of every row.
+
+    Texts are cut into words once: a row's shingles of all lengths, and one mark that every
+    row has, are one array, which meets the benchmark's shingles (and the mark) in one join."""
     windows, items = item_windows(benchmark, window, shingle)
     windows, items = stored(windows, "windows"), stored(items, "items")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most `shingle` numbers
-    known = stored(windows.select("length", F.explode("tokens").alias("token")).distinct(), "shingles")
+    shared = windows.select(F.explode("tokens").alias("token")).union(docs.sparkSession.range(1).select(F.lit(MARK).cast("long")))
+    known = stored(shared.distinct(), "shingles")
     hint = F.broadcast if known.count() <= BROADCAST_SHINGLES else (lambda df: df)
-    base = docs.select(*identity(), words_of(text_of()).alias("_w"))
-    found = None
-    for k in lengths:  # one length as a rule; short items add theirs
-        around = F.slice("_w", F.greatest(F.col("at") - (window - k), F.lit(0)) + 1, 2 * window)
-        part = (base.select("_id", "_th", "_w", F.posexplode(_shingles(F.col("_w"), k)).alias("at", "token"))
-                .join(hint(known.filter(F.col("length") == k).select("token")), "token")
-                .select("_id", "_th", F.size("_w").alias("n_words"), "at", "token", F.lit(k).alias("length"),
-                        F.greatest(F.col("at") - (window - k), F.lit(0)).alias("from"), around.alias("around")))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = base.select("_id", "_th", F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("token"),
-                            F.lit(0).alias("length"), F.lit(0).alias("from"), F.col("_w").alias("around")).limit(0)
-    found = stored(found, "shared-shingles")
+    none = F.array().cast("array<bigint>")
+    every = F.concat(F.array(F.lit(MARK).cast("long")), *[F.coalesce(_shingles(F.col("_w"), k), none) for k in lengths])
+    # where a shingle's place in the array puts it: after the mark, lengths follow each other
+    length, at, before = F.lit(0), F.lit(0), F.lit(1)
+    for k in lengths:
+        places = F.greatest(F.size("_w") - (k - 1), F.lit(0))
+        here = (F.col("place") >= before) & (F.col("place") < before + places)
+        length, at, before = F.when(here, k).otherwise(length), F.when(here, F.col("place") - before).otherwise(at), before + places
+    found = (docs.select("doc_id", *identity(), words_of(text_of()).alias("_w"))
+             .select("doc_id", "_id", "_th", "_w", F.posexplode(every).alias("place", "token"))
+             .join(hint(known), "token").withColumns({"length": length, "at": at}))
+    start = F.greatest(F.col("at") - (window - F.col("length")), F.lit(0))
+    around = F.when(F.col("length") > 0, F.slice("_w", start + 1, 2 * window))
+    found = stored(found.select("doc_id", "_id", "_th", F.size("_w").alias("n_words"), "at", "token", "length", start.alias("from"),
+                                around.alias("around")), "shared-shingles")
+    sizes, found = found.filter("length = 0 AND token = " + str(MARK)).select("doc_id", "_id", "_th", "n_words"), found.filter("length > 0")
     count = found.groupBy("length", "token").agg(F.count("*").alias("seen"))
     # a window's prefix is its rarest shingle; a window with a shingle that no document has drops out here
     prefix = (windows.select("wid", "length", F.posexplode("tokens").alias("offset", "token"))
@@ -95,14 +102,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle
             .filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
             .filter(F.slice("around", start - F.col("from") + 1, F.col("n")) == F.col("win"))
             .select("_id", "_th", "wid", start.alias("start"), "n"))
-    return stored(hits, "hits"), items
+    return stored(hits, "hits"), items, sizes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, one_in: int = 20) -> DataFrame:
     """One row per document: ``doc_id, _id, _th, n_words, n_hit, n_items,
     item_ids`` (sorted array) and ``contaminated``: at least one word in
     ``one_in`` lies inside a window."""
-    hits, items = occurrences(docs, benchmark, window, shingle)
+    hits, items, sizes = occurrences(docs, benchmark, window, shingle)
     merged = F.aggregate(
         F.array_sort("_at"), F.struct(F.lit(0).alias("hit"), F.lit(0).alias("reach")),
         lambda acc, x: F.struct((acc["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["reach"]))).alias("hit"),
@@ -111,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
              .select("_id", "_th", merged["hit"].cast("long").alias("n_hit")))
     held = (hits.select("_id", "_th", "wid").distinct().join(items, "wid")
             .groupBy("_id", "_th").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
-    out = (docs.select("doc_id", *identity(), F.regexp_count(text_of(), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    out = (sizes.withColumn("n_words", F.col("n_words").cast("long"))
            .join(spans.join(held, ["_id", "_th"]), ["_id", "_th"], "left"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "_id", "_th", "n_words", n_hit.alias("n_hit"),
