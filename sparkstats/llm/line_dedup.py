@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, stored, text_of
+from .common import carrying, identity, stored, text_of
 
 
 def _windows(size: int) -> Column:
@@ -47,6 +47,7 @@ def line_windows(docs: DataFrame, size: int = 3) -> DataFrame:
             .select("_id", "_th", F.explode(windows).alias("w")).select("_id", "_th", "w.*"))
 
 
+@carrying("doc_id", "text")
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with the remaining ``text``, and ``n_lines, n_removed`` (long)."""
     windows = line_windows(docs, size)
@@ -68,47 +69,73 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     return out.drop("_id", "_th", "_spans", "_gone")
 
 
-#: A piece: up to 12 words, ended earlier by a word whose last character is one of
-#: these, or by a line end. A piece is known by its own words, wherever a passage stands.
-CUT = ".!?;:gk"
-PIECE = rf"\s*+(?:\S++(?<![{CUT}])[^\S\n]++(?=\S)){{0,11}}+\S++\s*+"
+#: Words with what white space follows them; the first one also has what precedes it.
+WORD = r"\s*+\S++\s*+"
+#: A piece ends after a word whose hash is 0 modulo ``CUT_ONE_IN``, after ``PIECE_WORDS`` words, or at a line
+#: end. So pieces follow content in any language, wherever a passage stands in a text.
+CUT_ONE_IN, PIECE_WORDS = 3, 6
+#: Consecutive pieces of a window.
+PIECES = 4
 BLANK = " \n\t\r\x0b\x0c"
 #: A repeated run of pieces goes if it has this many words, or three whole lines.
 LEAST_WORDS = 20
 
 
+def _with_pieces(rows: DataFrame) -> DataFrame:
+    """Adds ``_raw``, the consecutive pieces of ``_text`` with their white space."""
+    nothing = F.array().cast("array<int>")
+
+    def ends(w: Column, i: Column) -> Column:
+        cut = w.contains("\n") | (F.pmod(F.xxhash64(F.trim(w, F.lit(BLANK))), F.lit(CUT_ONE_IN)) == 0)
+        return F.when(cut | (i == F.size("_words") - 1), i)
+
+    def chopped(a: Column, z: Column) -> Column:  # a long stretch without a cut, from its start on
+        return F.concat(F.when(z - a >= PIECE_WORDS, F.sequence(a + (PIECE_WORDS - 1), z - 1, F.lit(PIECE_WORDS))).otherwise(nothing), F.array(z))
+
+    rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), 0))
+    rows = rows.withColumn("_ends", F.array_compact(F.transform("_words", ends)))
+    after = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", F.lit(1), F.greatest(F.size("_ends") - 1, F.lit(0))), lambda e: e + 1))
+    rows = rows.withColumn("_ends", F.when(F.size("_ends") > 0, F.flatten(F.zip_with(after, F.col("_ends"), chopped))).otherwise(nothing))
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", F.lit(1), F.greatest(F.size("_ends") - 1, F.lit(0))), lambda e: e + 1))
+    raw = F.zip_with(starts, F.col("_ends"), lambda a, z: F.array_join(F.slice(F.col("_words"), a + 1, z - a + 1), ""))
+    return rows.withColumn("_raw", F.when(F.size("_ends") > 0, raw).otherwise(F.array().cast("array<string>"))).drop("_words", "_ends")
+
+
 def piece_windows(docs: DataFrame) -> DataFrame:
-    """One row per two consecutive pieces: ``_id, _th, start, h1, h2``. A text of one
+    """One row per ``PIECES`` consecutive pieces: ``_id, _th, start, h1, h2``. A text of one
     or two filled lines has a window of the whole of it, too (start -1)."""
-    words = F.transform(F.regexp_extract_all(text_of(), F.lit(PIECE), 0), lambda p: F.trim(p, F.lit(BLANK)))
-
     def window(i: Column) -> Column:
-        parts = [F.get("_p", i), F.get("_p", i + 1)]
+        parts = [F.get("_p", i + k) for k in range(PIECES)]
         return F.struct(i.alias("start"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
 
-    lines = F.filter(F.transform(F.split(text_of(), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("_text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     whole = F.struct(F.lit(-1).alias("start"), F.xxhash64(F.lit("whole"), F.array_join("_l", "\n")).alias("h1"),
                      F.xxhash64(F.lit("second"), F.lit("whole"), F.array_join("_l", "\n")).alias("h2"))
-    inner = F.when(F.size("_p") > 1, F.transform(F.sequence(F.lit(0), F.size("_p") - 2), window)).otherwise(F.array().cast("array<struct<start:int,h1:bigint,h2:bigint>>"))
-    short = F.when(F.size("_l").between(1, 2), F.array(whole)).otherwise(F.array().cast("array<struct<start:int,h1:bigint,h2:bigint>>"))
-    return (docs.select(*identity(), words.alias("_p"), lines.alias("_l"))
-            .select("_id", "_th", F.explode(F.concat(short, inner)).alias("w")).select("_id", "_th", "w.*"))
+    none = F.array().cast("array<struct<start:int,h1:bigint,h2:bigint>>")
+    inner = F.when(F.size("_p") >= PIECES, F.transform(F.sequence(F.lit(0), F.size("_p") - PIECES), window)).otherwise(none)
+    short = F.when(F.size("_l").between(1, 2), F.array(whole)).otherwise(none)
+    rows = _with_pieces(docs.select(*identity(), text_of().alias("_text")))
+    rows = rows.select("_id", "_th", F.transform("_raw", lambda p: F.trim(p, F.lit(BLANK))).alias("_p"), lines.alias("_l"))
+    return rows.select("_id", "_th", F.explode(F.concat(short, inner)).alias("w")).select("_id", "_th", "w.*")
 
 
+@carrying("doc_id", "text")
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the later occurrences of passages: all that ``dedup_lines``
-    removes, and repeated runs of ``LEAST_WORDS`` words in one or two lines or inside
-    a line. What goes stands at an earlier place, as there."""
+    """``docs`` without the later occurrences of passages: the window rule of ``dedup_lines`` on
+    pieces of lines, ``PIECES`` a window. Repeated runs of ``LEAST_WORDS`` words go wherever they stand, and runs of three whole
+    lines. What goes stands at an earlier place, as there."""
     windows = piece_windows(docs)
     place = F.struct("_id", "_th", "start")
-    many = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = stored(windows.join(many, ["h1", "h2"]), "repeated-windows")
-    first = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    # half the hash finds what may be repeated; the whole of it decides below
+    many = windows.select("h1").groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = stored(windows.join(many, "h1"), "repeated-windows")
+    # both sides stored: plain exchanges, over which a very common window can be split
+    first = stored(again.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-windows")
     covered = (again.join(first, ["h1", "h2"]).filter(place > F.col("first"))
                .groupBy("_id", "_th").agg(F.array_sort(F.collect_set("start")).alias("_starts")))
     s, raw = F.col("_inner"), F.col("_raw")
-    begins = F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) > 2))
-    ends = F.transform(F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) - x > 2)), lambda x: x + 1)
+    begins = F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) > PIECES))
+    ends = F.transform(F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) - x > PIECES)), lambda x: x + (PIECES - 1))
 
     def run(r: Column) -> Column:
         text = F.array_join(F.slice(raw, r["b"] + 1, r["e"] - r["b"] + 1), "")
@@ -129,8 +156,9 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         lost = F.coalesce(F.get(runs, k)["broken"], F.lit(False)) & (text != "") & ~text.endswith("\n")
         return F.concat(text, F.when(lost, "\n").otherwise(""))
 
-    out = (docs.select("*", *identity()).join(covered, ["_id", "_th"], "left")
-           .withColumn("_raw", F.when(F.col("_starts").isNotNull(), F.regexp_extract_all(text_of(), F.lit(PIECE), 0)))
+    met = docs.select("*", *identity()).join(covered, ["_id", "_th"], "left")
+    # pieces of texts that hold a repeated window only
+    out = (_with_pieces(met.withColumn("_text", F.when(F.col("_starts").isNotNull(), text_of())))
            .withColumn("_inner", F.filter("_starts", lambda x: x >= 0))
            .withColumns({"_begins": begins, "_ends": ends})
            .withColumn("_runs", F.filter(spans, lambda r: r["goes"]))
