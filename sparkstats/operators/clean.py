@@ -28,29 +28,30 @@ def fill_constant(df: DataFrame, values: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in present.items()})
 
 
-def column_quantiles(df: DataFrame, cols, probs) -> dict:
-    """{column: [quantile per prob]}: exact, one bucketed pass for all columns.
+def column_quantiles(df: DataFrame, cols, probs, method: str = "exact", accuracy: int = 10_000) -> dict:
+    """{column: [quantile per prob]}: exact, one bucketed pass for all columns; by ``method`` "sketch"
+    one aggregate of quantile sketches with ranks within n / ``accuracy``.
 
     The result is len(cols) x len(probs) numbers; it is fitted state (like a
     fitted scaler) and is inlined into later plans as literals, so those plans
     stay a single projection over one scan.
     """
     names = [f"_q{i}" for i in range(len(probs))]
-    rows = multi_quantiles(df, cols, probs, names).collect()
+    rows = multi_quantiles(df, cols, probs, names, method=method, accuracy=accuracy).collect()
     out = {c: [None] * len(probs) for c in cols}
     for r in rows:
         out[r["column"]] = [r[n] for n in names]
     return out
 
 
-def fill_median(df: DataFrame, cols, strategy: str = "median") -> DataFrame:
+def fill_median(df: DataFrame, cols, strategy: str = "median", method: str = "exact") -> DataFrame:
     """C4: nulls to the column median (or 0 with strategy='zero').
 
-    The medians are fitted first (exact, distributed) and inlined as literals.
+    The medians are fitted first (exact unless ``method`` is "sketch", distributed) and inlined as literals.
     """
     if strategy == "zero":
         return fill_constant(df, {c: 0.0 for c in cols})
-    med = column_quantiles(df, cols, [0.5])
+    med = column_quantiles(df, cols, [0.5], method)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast("double"))
                            for c in cols})
 
@@ -63,14 +64,15 @@ def handle_missing(df: DataFrame) -> DataFrame:
     return drop_missing_rows(out)
 
 
-def winsorize(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """Clip each column at its own exact percentiles; nulls stay null.
+def winsorize(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99, method: str = "exact",
+              accuracy: int = 10_000) -> DataFrame:
+    """Clip each column at its own percentiles, exact or by ``method`` "sketch"; nulls stay null.
 
     All bounds come from one bucketed quantile pass over the stacked columns
     and are inlined as literals (2 numbers per column).
     """
     cols = [c for c in cols if c in df.columns]
-    b = column_quantiles(df, cols, [lower, upper])
+    b = column_quantiles(df, cols, [lower, upper], method, accuracy)
     clipped = {c: F.when(F.col(c).isNotNull(),
                          F.least(F.greatest(F.col(c).cast("double"),
                                             F.lit(b[c][0]).cast("double")),

@@ -23,7 +23,7 @@ def levels(df: DataFrame, col: str, most: int = MAX_LEVELS) -> list:
     found = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
              .limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"{col} has more than {most} levels: label_encode fits it, one_hot does not")
+        raise ValueError(f"{col} has more than {most} levels: sparse.sparse_one_hot or label_encode fits it, one_hot does not")
     return sorted(found)
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..session import materialize
 from .encode import apply_scaler, scaler_table
-from .relate import small_side
 from .sampling import stratified_split
 
 # Feature lists of the two cancellation models.
@@ -29,15 +28,6 @@ LR_FEATURES_NO_LEAK = ["dep_delay", "distance", "carrier_delay", "weather_delay"
                        "nas_delay", "late_aircraft_delay", "month", "day_of_week"]
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
-    """w = n / (k * n_class): 'balanced' weights = equal priors."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    wt = counts.crossJoin(F.broadcast(tot)).select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(small_side(wt), label)
-
-
 @dataclass
 class LogisticFit:
     """Coefficients (intercept first), the information matrix there, the weighted log loss
@@ -109,6 +99,14 @@ def newton(rows: DataFrame, label: str, features, weights: dict, penalty: float
     return LogisticFit(b, information, loss + 0.5 * b @ ridge @ b, float(np.abs(gradient + ridge @ b).max() / mass), steps, converged)
 
 
+def covariance(information: np.ndarray) -> np.ndarray:
+    """Variances of the coefficients: the diagonal of the inverse information, taken in units of its own
+    diagonal so that features of any scale meet one rank tolerance."""
+    unit = np.sqrt(np.diag(information))
+    unit[unit <= 0] = np.inf
+    return np.diag(np.linalg.pinv(information / np.outer(unit, unit), rcond=1e-12, hermitian=True)) / unit ** 2
+
+
 def class_weights(rows: DataFrame, label: str) -> tuple[dict, int]:
     """Balanced weights of labels 0 and 1, and the number of rows."""
     counts = {int(r[0]): r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).limit(3).collect()}
@@ -167,13 +165,12 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     w = sub.withColumn("_w", F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]))
     fit = newton(sub, label, feats, weights)
     coef, b0 = fit.coef[1:], float(fit.coef[0])
-    cov = np.linalg.pinv(fit.information)
     est = np.concatenate([[b0], coef])
-    se = np.sqrt(np.diag(cov))
-    wald = (est / se) ** 2
-    pv = [dist.chi2_sf(float(x), 1) for x in wald]
-    rows = [(t, float(e), float(s), float(wd), float(pp))
-            for t, e, s, wd, pp in zip(["Intercept", *feats], est, se, wald, pv)]
+    rows = []
+    for term, e, var in zip(["Intercept", *feats], est, covariance(fit.information)):
+        se = float(np.sqrt(var)) if var > 0 else None  # no information about the term: no test
+        wald = (float(e) / se) ** 2 if se else None
+        rows.append((term, float(e), se, wald, dist.chi2_sf(wald, 1) if wald is not None else None))
     return {"features": feats, "coef": coef, "intercept": b0, "rows": rows, "train": w,
             "holdout": holdout, "fit": fit, "weights": weights}
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even
-from .ordered import multi_quantiles
+from .ordered import join_by, multi_quantiles
 
 
 def _rows(one_row: DataFrame, specs: list[tuple[str, dict]]) -> DataFrame:
@@ -67,8 +67,8 @@ def column_inventory(df: DataFrame, approx: bool = False) -> DataFrame:
     return long.withColumn("dtype", type_map[F.col("column")])
 
 
-def describe(df: DataFrame, cols, by=(), with_nmiss: bool = False) -> DataFrame:
-    """Q4: count, mean, sample std, min, quartiles (exact, interpolated), max per column.
+def describe(df: DataFrame, cols, by=(), with_nmiss: bool = False, method: str = "exact") -> DataFrame:
+    """Q4: count, mean, sample std, min, quartiles (exact, interpolated; or by ``method`` "sketch"), max per column.
 
     Moments come from one wide aggregate; quartiles from the bucketed exact
     quantiles of the stacked columns; both joined on (by..., column).
@@ -89,8 +89,8 @@ def describe(df: DataFrame, cols, by=(), with_nmiss: bool = False) -> DataFrame:
                              *[F.col(s).alias(f) for f, s in fields(i).items()])
                     for i, c in enumerate(cols)])
     moments = wide.select(*by, F.explode(arr).alias("_r")).select(*by, "_r.*")
-    qs = multi_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "median", "p75"], by=by)
-    return moments.join(qs, [*by, "column"], "left")
+    qs = multi_quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "median", "p75"], by, method)
+    return join_by(moments, qs, [*by, "column"], "left")
 
 
 def head(df: DataFrame, key, n: int = 10, cols=None) -> DataFrame:

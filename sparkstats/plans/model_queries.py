@@ -23,7 +23,7 @@ REG_FEATURES = ["dep_delay", "distance", "carrier_delay", "weather_delay", "nas_
 def _carrier_design(spark, sf):
     """M6 design: cleaned flights, complete cases, carrier dummies (first level
     dropped), y = log(arr_delay + table-wide shift)."""
-    base = materialize(clean.load_clean(flights(spark, sf))
+    base = materialize(clean.load_clean(flights(spark, sf)).select("op_unique_carrier", "arr_delay", *OLS_FEATURES)
                        .dropna(subset=[*OLS_FEATURES, "arr_delay"]), "ols_design")
     lv = encode.levels(base, "op_unique_carrier")
     dummies = {f"carrier_{v}": (F.col("op_unique_carrier") == v).cast("double") for v in lv[1:]}

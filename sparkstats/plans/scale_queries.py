@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import encode, evaluate, formats, linear, local, logistic, model_store, ordered, sparse
+from ..operators import clean, encode, evaluate, formats, linear, local, logistic, model_store, ordered, sparse
 from ..session import materialize
 from ..sources.flights import flights
 from ..sources.tables import table
@@ -222,6 +222,21 @@ def q_quantile_sketch(spark, sf):
     return ranks.select("op_unique_carrier", "n", fine.alias("within_bound"))
 
 
+@query("winsorize_sketch_bounds", _sql("""
+  SELECT 'dep_delay' AS "column", count(dep_delay) AS n, true AS within_bound FROM flights
+  UNION ALL SELECT 'distance', count(distance), true FROM flights UNION ALL SELECT 'air_time', count(air_time), true FROM flights"""))
+def q_winsorize_sketch(spark, sf):
+    """C6 by sketch: no column has more rows clipped at either end than its share and the stated error allow."""
+    cols, accuracy = ["dep_delay", "distance", "air_time"], 500
+    f = materialize(flights(spark, sf).select("flight_key", *cols), "winsorize_sketch")
+    w = clean.winsorize(f.withColumns({f"_{c}": F.col(c) for c in cols}), cols, method="sketch", accuracy=accuracy)
+    sums = [F.struct(F.lit(c).alias("column"), F.count(f"_{c}").alias("n"), F.count_if(F.col(c) > F.col(f"_{c}")).alias("low"),
+                     F.count_if(F.col(c) < F.col(f"_{c}")).alias("high")).alias(c) for c in cols]
+    rows = w.agg(*sums).select(F.explode(F.array(*cols)).alias("r")).select("r.*")
+    most = F.col("n") * (0.01 + 1 / accuracy) + 1
+    return rows.select("column", "n", ((F.col("low") <= most) & (F.col("high") <= most)).alias("within_bound"))
+
+
 @query("auc_sketch_delay", _sql("""
   SELECT sum(CASE WHEN cancelled = 1 THEN 1 ELSE 0 END)::BIGINT AS n_pos, sum(CASE WHEN cancelled <> 1 THEN 1 ELSE 0 END)::BIGINT AS n_neg,
          true AS within_bound FROM flights WHERE cancelled IS NOT NULL AND distance IS NOT NULL"""))

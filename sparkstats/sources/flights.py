@@ -55,14 +55,16 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cancelled = (F.col("l_orderkey") % 67 == 0)
     arr = F.when(~cancelled, F.col("l_quantity") * 4 - 65 + F.col("l_discount") * 100)
-    half = F.floor(arr / 2).cast("double")
+    # computed once: five causes, the delay itself and the air time read them
+    joined = joined.withColumns({"_arr": arr, "_distance": F.round(F.col("l_extendedprice") / 20, 0)})
+    joined = joined.withColumn("_half", F.floor(F.col("_arr") / 2).cast("double"))
+    arr, half, distance = F.col("_arr"), F.col("_half"), F.col("_distance")
 
     def cause(j: int) -> Column:
         share = (F.when(F.col("l_partkey") % 5 == j, half).otherwise(F.lit(0.0))
                  + F.when(F.col("l_suppkey") % 5 == j, half).otherwise(F.lit(0.0)))
         return F.when(arr > 15, share)
 
-    distance = F.round(F.col("l_extendedprice") / 20, 0)
     carriers = F.array(*[F.lit(c) for c in CARRIERS])
     codes = F.array(*[F.lit(c) for c in CANCEL_CODES])
     return joined.select(

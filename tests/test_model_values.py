@@ -115,10 +115,11 @@ def test_logistic_models(spark):
     loss = lambda c: (w * (np.logaddexp(0, z @ c) - y * (z @ c))).sum()
     mine = q.loc[["Intercept", *r["features"]], "estimate"].to_numpy()
     assert loss(mine) <= loss(b / unit) * (1 + 1e-9)
-    if r["fit"].converged:
-        assert np.allclose(mine * unit, b, rtol=1e-4, atol=1e-4)
-        se = np.sqrt(np.diag(np.linalg.pinv(info))) / unit
-        assert np.allclose(q.loc[["Intercept", *r["features"]], "std_err"], se, rtol=1e-3)
+    se = np.sqrt(np.abs(np.diag(np.linalg.pinv(info)))) / unit
+    known = q.loc[["Intercept", *r["features"]], "std_err"].to_numpy() < 100  # the others have no finite estimate: no cause is ever given to a cancelled flight
+    assert known.sum() >= 4
+    assert np.allclose(mine[known], (b / unit)[known], rtol=1e-4, atol=1e-6)
+    assert np.allclose(q.loc[["Intercept", *r["features"]], "std_err"][known], se[known], rtol=1e-3)
     table = got(spark, "logistic_class_table")
     assert len(table) == 5
     hl = got(spark, "logistic_hosmer_lemeshow")
