@@ -9,11 +9,10 @@ with fresh projections go on until ``QUIET`` of them in a row connect nothing ne
 classes are compared in full, in blocks, which gives the exact number of links.
 
 Crowded labels, whose vectors all stand close together, keep near pairs apart in any such
-order. So every label is verified: a query set (classes whose least id is divisible by
-``QUERY_ONE_IN``; all classes of a label of one block) is compared with its whole label. A
-label in which that finds a link between components is compared in full, in blocks, as a
-whole: K classes cost K^2 / ``BLOCK`` rows there. What can be lost is a pair that neither
-the passes nor the queries meet, in a label where no query missed a link.
+order. So an exact check follows in every label, whatever its size: all pairs of its classes that the
+passes left in different components are compared, in blocks, and the links found there
+are added. No link is lost. The check is quadratic by nature: K classes of a label cost
+K^2 / ``BLOCK`` rows and K^2 / 2 comparisons, dealt out by pairs of blocks; a task holds two blocks at a time.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components,
 and vectors without a label, link with nothing; vectors of unequal length are not
@@ -37,7 +36,7 @@ from .components import components
 BLOCK = 1024           # classes in one block of a full comparison
 BITS = 62              # projections in a key
 QUIET = 2              # passes without a new connection after which the passes end
-QUERY_ONE_IN = 100     # of the ids: the query set that verifies a label
+QUERY_ONE_IN = 100     # of the ids: the query set on which the recall of the passes alone is stated; the result does not use it
 
 
 def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -99,9 +98,10 @@ def _by_block_pair(compare: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
     return run
 
 
-def _compared(threshold: float) -> Callable:
+def _compared(threshold: float, apart: bool) -> Callable:
     """Per member and block pair, the copies that the linked members stand for
-    (``cid, links``), and per block pair edges that connect what links connect (``a, b``)."""
+    (``cid, links``), and per block pair edges that connect what links connect (``a, b``); apart: of
+    members with different roots only."""
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         one = g["i"].iloc[0] == g["j"].iloc[0]
         left, right = (g, g) if one else (g[g["side"] == 0], g[g["side"] == 1])
@@ -111,6 +111,8 @@ def _compared(threshold: float) -> Callable:
         hit = _matrix(left["vec"], dim) @ _matrix(right["vec"], dim).T >= threshold
         if one:
             np.fill_diagonal(hit, False)
+        if apart:
+            hit &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()
         if not hit.any():
             return pd.DataFrame(columns=COLUMNS, dtype="Int64")
         mine, other = left["cid"].to_numpy(), right["cid"].to_numpy()
@@ -125,18 +127,18 @@ def _compared(threshold: float) -> Callable:
     return _by_block_pair(compare)
 
 
-def compared(classes: DataFrame, threshold: float) -> DataFrame:
+def compared(classes: DataFrame, threshold: float, apart: bool = False) -> DataFrame:
     """Rows ``cid, links`` (copies outside the class that a class links to, by block
-    pair) and rows ``a, b`` (edges that connect what links connect). classes:
-    ``label, dim, cid, n, vec`` (binary)."""
+    pair) and rows ``a, b`` (edges that connect what links connect); apart: links between different
+    roots only. classes: ``label, dim, cid, n, vec`` (binary), ``root``."""
     sizes = stored(classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
     placed = classes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = (placed.select("label", "dim", "cid", "n", "vec", "own", other)
+    pairs = (placed.select("label", "dim", "cid", "n", "vec", "root", "own", other)
              .select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cid", "n", "vec"))
+                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "cid", "n", "vec", "root"))
     ordered = pairs.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "side", "cid")
-    return ordered.mapInPandas(_compared(threshold), "cid long, links long, a long, b long")
+    return ordered.mapInPandas(_compared(threshold, apart), "cid long, links long, a long, b long")
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,36 +272,6 @@ def swept(packed: DataFrame, threshold: float, passes: int, window: int, seed: i
     return reached
 
 
-def _missed(threshold: float) -> Callable:
-    """Of a block of queries (side 0) and one of a label's classes: labels with a link between two roots."""
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        q, rows = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(q) or not len(rows):
-            return pd.DataFrame({"label": [], "dim": []})
-        dim = int(g["dim"].iloc[0])
-        hit = _matrix(q["vec"], dim) @ _matrix(rows["vec"], dim).T >= threshold
-        lost = (hit & (q["root"].to_numpy()[:, None] != rows["root"].to_numpy())).any()
-        return g[["label", "dim"]].head(1) if lost else g[["label", "dim"]].head(0)
-    return _by_block_pair(compare)
-
-
-def crowded(placed: DataFrame, threshold: float) -> DataFrame:
-    """``label, dim`` of the labels in which a query's link leads to another component, stored.
-    placed: ``label, dim, cid, vec, least, root``."""
-    whole = F.col("size") <= BLOCK
-    sizes = stored(placed.groupBy("label", "dim").agg(F.count("*").alias("size"), F.count_if(F.pmod("least", F.lit(QUERY_ONE_IN)) == 0).alias("asked")), "label-sizes")
-    rows = placed.join(sizes, ["label", "dim"]).filter((F.col("size") > 1) & (whole | (F.col("asked") > 0)))
-    asks = whole | F.coalesce(F.pmod("least", F.lit(QUERY_ONE_IN)) == 0, F.lit(False))
-    hashed = F.xxhash64("cid")
-    q_blocks = F.ceil(F.when(whole, F.col("size")).otherwise(F.col("asked")) / BLOCK).cast("int")
-    r_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cols = ["label", "dim", "cid", "vec", "root"]
-    queries = rows.filter(asks).select(*cols, F.pmod(hashed, q_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), r_blocks - 1)).alias("j"), F.lit(0).alias("side"))
-    others = rows.select(*cols, F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("i"), F.pmod(hashed, r_blocks).cast("int").alias("j"), F.lit(1).alias("side"))
-    ordered = queries.unionByName(others).repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "side", "cid")
-    return stored(ordered.mapInPandas(_missed(threshold), "label string, dim int").distinct(), "crowded")
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 24, window: int = 24, seed: int = 7) -> DataFrame:
     """One row per vector: ``vec_id, n_links`` (other vectors linked directly),
     ``component_id`` (smallest vec_id reachable by links) and ``kept``."""
@@ -308,13 +280,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, passes: int = 24,
     packed = stored(classes.select("label", F.size("vec").alias("dim"), "cid", "n", "vec", "least")
                     .mapInPandas(_packed, "label string, dim int, cid long, n long, vec binary, least long"), "packed")
     reached = swept(packed, threshold, passes, window, seed)
-    placed = stored(packed.join(reached, packed.cid == reached.node, "left").drop("node"), "placed")
-    full = crowded(placed.withColumn("root", F.coalesce("root", "cid")), threshold)
-    groups = placed.join(full.withColumn("crowded", F.lit(True)), ["label", "dim"], "left")
-    # a crowded label is one group, elsewhere a component is
-    name = F.when(F.col("crowded"), F.concat(F.lit("label "), "label")).otherwise(F.concat(F.lit("component "), F.col("root").cast("string")))
-    groups = stored(groups.filter("crowded OR root IS NOT NULL").select(name.alias("label"), "dim", "cid", "n", "vec"), "groups")
-    found = stored(compared(groups, threshold), "compared")
+    placed = stored(packed.join(reached, packed.cid == reached.node, "left")
+                    .select("label", "dim", "cid", "n", "vec", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("met")), "placed")
+    inside = placed.filter("met").withColumn("label", F.col("root").cast("string"))
+    # the links inside the components of the passes, then those between them
+    found = stored(compared(inside, threshold).unionByName(compared(placed, threshold, apart=True)), "compared")
     roots = stored(components(found.filter("a IS NOT NULL").select("a", "b")), "roots")
     counts = found.filter("cid IS NOT NULL").groupBy("cid").agg(F.sum("links").alias("links"))
     # both sides of the joins by root are stored: plain exchanges, over which a component of any size can be split

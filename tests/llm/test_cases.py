@@ -320,6 +320,23 @@ def test_crowded_labels_are_noticed(spark, monkeypatch):
         assert got == sorted(want)
 
 
+def test_no_link_depends_on_the_size_of_a_label(spark, monkeypatch):
+    """Labels of one block and of many, no id in the query set, passes that lose pairs: every link is found."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    rows = []
+    for label, half in (("small", 20), ("large", 200)):
+        x = unit(rng.standard_normal((2 * half, 32)))
+        x[half:] = unit(0.985 * x[:half] + np.sqrt(1 - 0.985 ** 2) * unit(rng.standard_normal((half, 32))))
+        rows += [(100 * (len(rows) + i) + 1, label, v.tolist()) for i, v in enumerate(x)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"), 0.98, 1, 1).collect()
+    links = vector_links(rows, 0.98)
+    n, root = collections.Counter(i for p in links for i in p), components(range(len(rows)), links)
+    want = [(r[0], n[i], min(rows[j][0] for j in range(len(rows)) if root[j] == root[i])) for i, r in enumerate(rows)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want) and len(links) > 150
+
+
 # --- decontamination
 
 def brute_hits(rows, items):
