@@ -38,9 +38,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows, and repeated passages of fewer lines or inside
-    a line, go everywhere but in the first place."""
-    out = line_dedup.dedup_passages(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Repeated three-line windows go everywhere but in the first place; of what remains, so do
+    repeated passages of fewer lines or inside a line."""
+    windows = stored(line_dedup.dedup_lines(docs).select(*docs.columns), "line-windows")
+    out = line_dedup.dedup_passages(windows).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
 
 

@@ -320,6 +320,15 @@ def test_crowded_labels_are_noticed(spark, monkeypatch):
         assert got == sorted(want)
 
 
+def test_line_stage_removes_short_three_line_windows(spark):
+    """Three repeated lines of one word each are fewer than four pieces: only the three-line windows find them."""
+    import corpus_pipeline
+    rows = [(1, "a first text\nred\ngreen\nblue\nits end", "en", "a", 40), (2, "another opening\n red\ngreen \n\nblue\nand its own close", "en", "a", 50),
+            (3, "no such lines\nred\ngreen\nat all", "en", "b", 30)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, docs(spark, rows), "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("another opening\nand its own close", 33), 3: (rows[2][1], len(rows[2][1]))}
+
+
 def test_no_link_depends_on_the_size_of_a_label(spark, monkeypatch):
     """Labels of one block and of many, no id in the query set, passes that lose pairs: every link is found."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
