@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.rounding import sql_half_even as HE
 from ..operators import clean, encode, profile, sampling
+from ..session import materialize
 from ..sources.flights import CARRIERS, CAUSES, FLIGHT_COLUMNS, flights
 from .catalog import query
 from .flight_queries import DERIVE_SQL, _sql, derived
@@ -166,7 +167,7 @@ CLEAN_SQL = (IMPUTED_SQL + ", bounds AS (SELECT "
 @query("handle_missing", _sql("SELECT * FROM imputed", IMPUTED_SQL))
 def q_handle_missing(spark, sf):
     """C5 (with C1, C3, C4) over all rows."""
-    return clean.handle_missing(flights(spark, sf))
+    return clean.handle_missing(materialize(flights(spark, sf), "handle_missing_input"))
 
 
 @query("load_clean", _sql("SELECT * FROM cleaned", CLEAN_SQL))
@@ -324,6 +325,6 @@ def q_encoding_summary(spark, sf):
     IMPUTED_SQL))
 def q_row_audit(spark, sf):
     """Q12: shapes before / after each cleaning step."""
-    f = flights(spark, sf)
+    f = materialize(flights(spark, sf), "audit_input")
     return profile.row_audit([("raw", f), ("complete cases", clean.drop_missing_rows(f)),
                               ("imputed", clean.handle_missing(f))])
