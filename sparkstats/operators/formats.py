@@ -2,28 +2,25 @@
 
 A value format is a table (value, label), a range format a table of bands (lower bound,
 upper bound, label): a band holds its lower bound and ends before its upper one, a
-null bound is open. Bands must not overlap. The lookup of a band is an equi-join: every
-m-th lower bound is a cell edge, a value's cell is found by binary search in the
-(bounded) list of edges, a band is listed in each cell that it meets, and a value is
-compared with the bands of its own cell only. As bands do not overlap, at most one
-crosses an edge, so the listing has no more than bands + edges rows, and a cell no
-more than m + 1 of them; m grows with the table of bands, not with the data.
+null bound is open. Bands must not overlap, so the only band that can hold a value is the
+one with the greatest lower bound at or below it. The distinct values and the bands are put
+into one order by range partitions, a running "last band" inside each partition and the last band of the
+partitions before it give every value its band, and the labelled values meet the rows by an
+equi-join. A value is compared with one band, whatever their number, and the sort grows
+with the distinct values and the bands.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .linear import with_neighbors
-from .ordered import row_positions
+from .ordered import in_order
 from .relate import small_side
 
-#: Cell edges at most: a list of this many doubles goes with every task.
-EDGES = 4096
-
 
 def with_cell(df: DataFrame, col: str, out: str, edges: list) -> DataFrame:
     """``df`` with ``out``, how many of the ascending ``edges`` are at or below the value ``col`` (binary
@@ -59,23 +56,24 @@ def range_format(df: DataFrame, col: str, bands: DataFrame, out: str, default: s
     total = table.count()
     if not total:
         return df.withColumn(out, F.when(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")), F.lit(default)))
-    every = -(-total // EDGES)
-    placed = row_positions(table, [], ["lo"], "band_places") if every > 1 else None
-    chosen = table if placed is None else placed.where((F.col("_pos") - 1) % every == 0)
-    edges = sorted(r["lo"] for r in chosen.select("lo").collect())  # EDGES at most
-    ends = with_cell(with_cell(table, "lo", "_first", edges), "hi", "_last", edges)
-    # a band that ends on an edge does not enter the cell that begins there
-    on_edge = F.broadcast(df.sparkSession.createDataFrame([(float(e),) for e in edges], "_edge double"))  # EDGES rows
-    ends = ends.join(on_edge, F.col("hi") == F.col("_edge"), "left").withColumn("_last", F.when(F.col("_edge").isNotNull(), F.col("_last") - 1).otherwise(F.col("_last")))
-    cells = materialize(ends.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("label").alias("_label"),
-                                    F.explode(F.sequence("_first", F.greatest("_first", "_last"))).alias("_cell")), "band_cells")
     value = F.col(col).cast("double")
-    rows = with_cell(df.withColumn("_value", F.when(~F.isnan(value), value)), "_value", "_at", edges)
+    rows = df.withColumn("_value", F.when(~F.isnan(value), value + 0.0))  # one zero
+    values = rows.select("_value").where(F.col("_value").isNotNull()).distinct()
+    held = F.struct(F.col("hi").alias("hi"), F.col("label").alias("label"))
+    points = (values.select(F.col("_value").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(table.select(held.alias("b")).schema[0].dataType).alias("band"))
+              .unionByName(table.select((F.col("lo") + 0.0).alias("at"), F.lit(0).alias("kind"), held.alias("band"))))
+    points = in_order(points, ["at", "kind"], "band_points")
+    running = Window.partitionBy("_part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = points.groupBy("_part").agg(F.max_by("band", F.when(F.col("kind") == 0, F.col("_seq"))).alias("end"))  # a row a partition
+    before = parts.select("_part", F.last("end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("entry"))
+    met = points.withColumn("own", F.last("band", ignorenulls=True).over(running)).where(F.col("kind") == 1).join(F.broadcast(before), "_part")
+    band = F.coalesce("own", "entry")
     # an open upper end holds positive infinity as well
-    inside = (F.col("_value") >= F.col("_lo")) & ((F.col("_value") < F.col("_hi")) | (F.col("_hi") == float("inf")))
-    joined = rows.join(small_side(cells), (F.col("_at") == F.col("_cell")) & inside, "left")
-    found = F.col("_label") if default is None else F.coalesce("_label", F.when(F.col("_value").isNotNull(), F.lit(default)))
-    return joined.withColumn(out, found).drop("_value", "_at", "_lo", "_hi", "_label", "_cell")
+    inside = (F.col("at") < band["hi"]) | (band["hi"] == float("inf"))
+    found = materialize(met.where(inside).select(F.col("at").alias("_at"), band["label"].alias("_label")), "band_values")
+    joined = rows.join(small_side(found), F.col("_value") == F.col("_at"), "left")
+    label_of = F.col("_label") if default is None else F.coalesce("_label", F.when(F.col("_value").isNotNull(), F.lit(default)))
+    return joined.withColumn(out, label_of).drop("_value", "_at", "_label")
 
 
 def value_format(df: DataFrame, col: str, table: DataFrame, out: str, default: str | None = None, value: str = "value", label: str = "label") -> DataFrame:
