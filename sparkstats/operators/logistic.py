@@ -1,7 +1,8 @@
 """Logistic regression (M3, M4, M5, V9) by Newton steps as Spark aggregates.
 
-A step is one pass over the stored features: each task adds up the weighted loss, its
-gradient and the information matrix sum(w p (1-p) x x') on Arrow batches, and Spark adds the
+Label and features are stored once more as packed blocks of rows, so that a step moves a few binary
+values instead of every number. A step is one pass over the blocks: each task adds up the weighted loss, its
+gradient and the information matrix sum(w p (1-p) x x'), and Spark adds the
 tasks up; the driver solves a p x p system. The same matrix gives the standard
 errors. Class balancing is a weight per class, from one count.
 """
@@ -12,12 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..session import materialize
+from .blocks import packed, unpacked
 from .encode import apply_scaler, scaler_table
 from .sampling import stratified_split
 
@@ -44,29 +46,31 @@ def newton(rows: DataFrame, label: str, features, weights: dict, penalty: float
            tol: float = 1e-10) -> LogisticFit:
     """Minimise sum w loss + penalty / 2 |b|^2 (the intercept is free). weights: per label 0 and 1.
 
-    rows should be stored: every step reads its label and feature columns. A step that raises the
+    Every step reads the packed label and feature columns. A step that raises the
     loss is halved; where the classes can be separated there is no minimum without a
     penalty, and the fit stops at ``max_iter`` with ``converged`` false."""
     feats = list(features)
     p = len(feats) + 1
     upper = np.triu_indices(p)
     x = rows.select(F.col(label).cast("double").alias("y"), *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(feats)])
+    blocks = packed(x)
     w0, w1 = float(weights[0]), float(weights[1])
 
     def at(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(1 + p + len(upper[0]))
-            for f in frames:
-                y, z = f["y"].to_numpy(), np.column_stack([np.ones(len(f)), f.iloc[:, 1:].to_numpy(float)])
-                eta, w = z @ b, np.where(f["y"].to_numpy() == 1, w1, w0)
+            for block in unpacked(frames, p):
+                y, z = block[:, 0].copy(), block.copy()
+                z[:, 0] = 1
+                eta, w = z @ b, np.where(y == 1, w1, w0)
                 prob = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
                 total[0] += (w * (np.logaddexp(0, eta) - y * eta)).sum()
                 total[1:1 + p] += z.T @ (w * (prob - y))
                 total[1 + p:] += ((z * (w * prob * (1 - prob))[:, None]).T @ z)[upper]
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total))), "v": pa.array(total)})
 
         got = np.zeros(1 + p + len(upper[0]))
-        for r in x.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        for r in blocks.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
             got[r["at"]] = r["v"]
         hessian = np.zeros((p, p))
         hessian[upper] = got[1 + p:]
@@ -160,7 +164,8 @@ def logistic_unpenalised(df: DataFrame, label: str, features=LR_FEATURES_NO_LEAK
     if key:  # the split is stored: the passes below and the hold-out read it
         split = stratified_split(sub, label, key, train_frac, seed)
         sub, holdout = split.where(F.col("is_train") == 1), split.where(F.col("is_train") == 0)
-    sub = materialize(sub, "lr_unpenalised")
+    else:
+        sub = materialize(sub, "lr_unpenalised")
     weights, _ = class_weights(sub, label)
     w = sub.withColumn("_w", F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]))
     fit = newton(sub, label, feats, weights)

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ordered import row_positions
+from .ordered import join_by, row_positions
 
 _SPAN = float(2 ** 60)
 
@@ -50,15 +50,32 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return placed.where(F.col("_pos") <= n).drop("_h", "_pos", "_total")
 
 
+#: Hash prefixes (hex digits) by which a split counts rows before it orders any.
+PREFIX = 4
+
+
 def stratified_split(df: DataFrame, label: str, key: str, train_frac: float = 0.8,
                      seed: int = 42) -> DataFrame:
     """SA2: adds ``is_train``: per class, the first round(frac * n_class) rows in
-    hash order are train (floor(x + 0.5)), so every class keeps its ratio."""
-    h = df.withColumn("_h", hash_order(key, seed))
-    placed = row_positions(h, [label], ["_h", key], "split")
-    n_train = F.floor(F.col("_total") * train_frac + 0.5)
-    split = placed.withColumn("is_train", (F.col("_pos") <= n_train).cast("int"))
-    return materialize(split.drop("_h", "_pos", "_total"), "split")
+    hash order are train (floor(x + 0.5)), so every class keeps its ratio.
+
+    One count by class and hash prefix tells in which prefix a class is cut: rows of lower prefixes are
+    train, of higher ones test, and only the rows of that prefix are put in order."""
+    h = materialize(df.withColumn("_b", F.substring(hash_order(key, seed), 1, PREFIX)), "split_input")
+    counts = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    grp = Window.partitionBy(label)
+    counts = counts.withColumns({"_upto": F.sum("_n").over(grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)),
+                                 "_train": F.least(F.floor(F.sum("_n").over(grp) * train_frac + 0.5), F.sum("_n").over(grp))})
+    # a row a class: the prefix that holds its last train row, and how many of that prefix are train
+    cut = (counts.where(F.col("_upto") >= F.col("_train")).groupBy(label)
+           .agg(F.min(F.struct("_b", (F.col("_train") - F.col("_upto") + F.col("_n")).alias("_kept"))).alias("_c"))
+           .select(label, F.col("_c._b").alias("_cut"), F.col("_c._kept").alias("_kept")))
+    placed = join_by(h, materialize(cut, "split_cuts"), [label])
+    clear = placed.where(F.col("_b") != F.col("_cut")).withColumn("is_train", (F.col("_b") < F.col("_cut")).cast("int"))
+    at = placed.where(F.col("_b") == F.col("_cut")).withColumn("_h", hash_order(key, seed))
+    at = row_positions(at, [label], ["_h", key], "split")
+    at = at.withColumn("is_train", (F.col("_pos") <= F.col("_kept")).cast("int")).drop("_h", "_pos", "_total")
+    return materialize(clear.unionByName(at).select(*df.columns, "is_train"), "split")
 
 
 def hash_split(df: DataFrame, key: str, train_frac: float = 0.8, seed: int = 42) -> DataFrame:

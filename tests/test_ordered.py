@@ -189,3 +189,34 @@ def test_centroid_distances_of_many_groups(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "g int, a double, b double")
     got = {(r.group_a, r.group_b): r.distance for r in stats.centroid_distances(df, "g", ["a", "b"], block=16).collect()}
     assert len(got) == 70 * 69 and all(np.isclose(d, np.linalg.norm(x[i] - x[j])) for (i, j), d in got.items())
+
+
+def test_split_orders_the_rows_of_one_hash_prefix_only(spark, monkeypatch):
+    """The same split as by the whole hash order, and no global order of all rows."""
+    import hashlib
+
+    from sparkstats.operators import sampling
+    ordered = []
+    whole = sampling.row_positions
+    monkeypatch.setattr(sampling, "row_positions", lambda df, *a: (ordered.append(df.count()), whole(df, *a))[1])
+    rows = [(f"k{i}", i % 3 == 0) for i in range(3000)] + [(None, True)] * 5 + [("k0", None)] * 4
+    got = sampling.stratified_split(spark.createDataFrame(rows, "k string, g boolean"), "g", "k", 0.8).collect()
+    md5 = lambda k: hashlib.md5(("42?" if k is None else f"42:{k}").encode()).hexdigest()
+    want = []
+    for g in (True, False, None):
+        mine = sorted((md5(k), str(k)) for k, v in rows if v is g)
+        want += [(g, k, int(i < int(0.8 * len(mine) + 0.5))) for i, (_, k) in enumerate(mine)]
+    assert sorted(map(str, want)) == sorted(str((r.g, str(r.k), r.is_train)) for r in got)
+    assert ordered and max(ordered) < 50
+
+
+def test_packed_blocks_hold_every_number(spark):
+    from sparkstats.operators.blocks import packed, unpacked
+    df = spark.range(25_001).selectExpr("cast(id as double) AS a", "if(id % 7 = 0, null, -id / 3D) AS b")
+
+    def sums(batches):
+        import pyarrow as pa
+        for x in unpacked(batches, 2):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)]), "a": pa.array([float(x[:, 0].sum())]), "nan": pa.array([int((x[:, 1] != x[:, 1]).sum())])})
+    r = packed(df).mapInArrow(sums, "n long, a double, nan long").groupBy().sum("n", "a", "nan").first()
+    assert tuple(r) == (25_001, 25_000 * 25_001 / 2, 3572)
