@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even
-from ..session import materialize
+from .blocks import packed, unpacked, width
 from .encode import scaler_table
 
 # The clustering features.
@@ -53,10 +54,10 @@ class KMeansFit:
 
 
 def weighted_points(df: DataFrame, features: list, table: dict) -> DataFrame:
-    """Distinct complete points, stored: scaled ``z0, z1, ...``, their rows ``w`` and a hash ``h`` of the raw values."""
+    """Distinct complete points, stored as packed blocks: the scaled features, their rows and a hash of the raw values."""
     rows = df.dropna(subset=features).groupBy(*features).agg(F.count(F.lit(1)).alias("w"))
     z = [((F.col(c).cast("double") - float(table[c][0])) / float(table[c][1])).alias(f"z{i}") for i, c in enumerate(features)]
-    return materialize(rows.select(*z, F.col("w").cast("double").alias("w"), F.xxhash64(*features).alias("h")), "points")
+    return packed(rows.select(*z, F.col("w").cast("double").alias("w"), F.xxhash64(*features).alias("h")), "points")
 
 
 def _uniform(h: np.ndarray, seed: int, start: int, turn: int) -> np.ndarray:
@@ -75,22 +76,25 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def _columns(points: DataFrame) -> list:
-    return [c for c in points.columns if c.startswith("z")]
+def _features(points: DataFrame) -> int:
+    return width(points) - 2
 
 
-def _batches(frames: Iterator[pd.DataFrame], p: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for b in frames:
-        if len(b):
-            yield b[[f"z{i}" for i in range(p)]].to_numpy(float), b["w"].to_numpy(float), b["h"].to_numpy(np.int64)
+def _batches(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for x in unpacked(batches, p + 2):
+        yield x[:, :p], x[:, p], x[:, p + 1].copy().view(np.int64)
+
+
+def _as_batch(b: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(b, preserve_index=False)
 
 
 def _drawn(points: DataFrame, have: list, each: int, seed: int, turn: int) -> list:
     """For every start ``each`` further points, by weight times squared distance from those it has."""
-    p = len(_columns(points))
+    p = _features(points)
     names = [f"z{i}" for i in range(p)]
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [pd.DataFrame(columns=["start", "key", *names])] * len(have)
         for x, w, h in _batches(frames, p):
             for s, centres in enumerate(have):
@@ -105,28 +109,28 @@ def _drawn(points: DataFrame, have: list, each: int, seed: int, turn: int) -> li
                 held[s] = both.sort_values(["key", *names]).head(each)
         for one in held:
             if len(one):
-                yield one[["start", "key", *names]].astype({"start": int})
+                yield _as_batch(one[["start", "key", *names]].astype({"start": "int32"}))
 
     schema = "start int, key double, " + ", ".join(f"{c} double" for c in names)
     order = Window.partitionBy("start").orderBy("key", *names)
-    rows = points.mapInPandas(best, schema).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).collect()
+    rows = points.mapInArrow(best, schema).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).collect()
     return [np.array([[r[c] for c in names] for r in sorted(rows, key=lambda r: r["_n"]) if r["start"] == s], float).reshape(-1, p) for s in range(len(have))]
 
 
 def _owned(points: DataFrame, candidates: list) -> list:
     """For every start the rows that are nearest to each of its candidates."""
-    p, most = len(_columns(points)), max(map(len, candidates))
+    p, most = _features(points), max(map(len, candidates))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((len(candidates), most))
         for x, w, _ in _batches(frames, p):
             for s, centres in enumerate(candidates):
                 got[s] += np.bincount(_squared(x, centres).argmin(1), weights=w, minlength=most)
         at = np.argwhere(got > 0)
-        yield pd.DataFrame({"start": at[:, 0], "candidate": at[:, 1], "n": got[got > 0]})
+        yield _as_batch(pd.DataFrame({"start": at[:, 0].astype(np.int32), "candidate": at[:, 1].astype(np.int32), "n": got[got > 0]}))
 
     out = [np.zeros(len(c)) for c in candidates]
-    for r in points.mapInPandas(count, "start int, candidate int, n double").groupBy("start", "candidate").agg(F.sum("n").alias("n")).collect():
+    for r in points.mapInArrow(count, "start int, candidate int, n double").groupBy("start", "candidate").agg(F.sum("n").alias("n")).collect():
         out[r["start"]][r["candidate"]] = r["n"]
     return out
 
@@ -170,7 +174,7 @@ def _step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n, k, p = centres.shape
     flat = centres.reshape(n * k, p)
 
-    def partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partials(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((p + 2, n * k))
         for x, w, _ in _batches(frames, p):
             far = _squared(x, flat).reshape(len(x), n, k)
@@ -181,10 +185,10 @@ def _step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
             for f in range(p):
                 got[1 + f] += np.bincount(at, weights=np.repeat(w * x[:, f], n), minlength=n * k)
             got[-1] += np.bincount(at, weights=weight * np.take_along_axis(far, own[:, :, None], 2).ravel(), minlength=n * k)
-        yield pd.DataFrame(got.T, columns=[f"s{i}" for i in range(p + 2)]).assign(at=np.arange(n * k))
+        yield _as_batch(pd.DataFrame(got.T, columns=[f"s{i}" for i in range(p + 2)]).assign(at=np.arange(n * k, dtype=np.int32)))
 
     schema = ", ".join(f"s{i} double" for i in range(p + 2)) + ", at int"
-    rows = points.mapInPandas(partials, schema).groupBy("at").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(p + 2)]).collect()
+    rows = points.mapInArrow(partials, schema).groupBy("at").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(p + 2)]).collect()
     sums = np.zeros((n * k, p + 2))
     for r in rows:  # n_init x k rows
         sums[r["at"]] = [r[f"s{i}"] for i in range(p + 2)]
