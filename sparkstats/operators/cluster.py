@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even
+from ..session import materialize
 from .blocks import packed, unpacked, width
 from .encode import scaler_table
 
@@ -54,10 +55,15 @@ class KMeansFit:
 
 
 def weighted_points(df: DataFrame, features: list, table: dict) -> DataFrame:
-    """Distinct complete points, stored as packed blocks: the scaled features, their rows and a hash of the raw values."""
+    """Distinct complete points, stored: scaled ``z0, z1, ...``, their rows ``w`` and a hash ``h`` of the raw values."""
     rows = df.dropna(subset=features).groupBy(*features).agg(F.count(F.lit(1)).alias("w"))
     z = [((F.col(c).cast("double") - float(table[c][0])) / float(table[c][1])).alias(f"z{i}") for i, c in enumerate(features)]
-    return packed(rows.select(*z, F.col("w").cast("double").alias("w"), F.xxhash64(*features).alias("h")), "points")
+    return materialize(rows.select(*z, F.col("w").cast("double").alias("w"), F.xxhash64(*features).alias("h")), "points")
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """The points as packed blocks, for the passes below."""
+    return points if points.columns == ["block"] else packed(points, "point_blocks")
 
 
 def _uniform(h: np.ndarray, seed: int, start: int, turn: int) -> np.ndarray:
@@ -157,6 +163,7 @@ def _reclustered(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator)
 
 def starting_centres(points: DataFrame, k: int, n_init: int, seed: int) -> np.ndarray:
     """(n_init, k, p) from oversampled candidates of all points; ``points``: see ``weighted_points``."""
+    points = _blocks(points)
     candidates = _drawn(points, [np.zeros((0, 0))] * n_init, 1, seed, 0)
     for turn in range(1, ROUNDS + 1):
         more = _drawn(points, candidates, PER_CLUSTER * k, seed, turn)
@@ -199,7 +206,7 @@ def _step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def lloyd(points: DataFrame, centres: np.ndarray, max_iter: int, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(centres, cost) of every start after at most ``max_iter`` steps; a start
     stops once no centre moves by more than ``tol``. Empty clusters stay put."""
-    centres = centres.copy()
+    points, centres = _blocks(points), centres.copy()
     running = np.arange(len(centres))
     for _ in range(max_iter):
         sums, _ = _step(points, centres[running])
@@ -232,7 +239,7 @@ def fit_kmeans(df: DataFrame, features=CLUSTER_FEATURES, k: int = 4, n_init: int
     if any(table[c][0] is None for c in feats):
         raise ValueError(f"0 distinct points for {k} clusters")
     mean, std = (np.array([float(table[c][i]) for c in feats]) for i in (0, 1))
-    points = weighted_points(df, feats, table)
+    points = _blocks(weighted_points(df, feats, table))
     first = starting_centres(points, k, n_init, seed) if starts is None else (np.asarray(starts, float) - mean) / std
     centres, cost = lloyd(points, first, max_iter, tol)
     best = int(np.argmin(cost.round(9)))
