@@ -193,7 +193,7 @@ a AS (SELECT level, my - b * mx AS a FROM g, b), z AS (SELECT arg_min(a, level)
 SELECT 'Intercept' AS term, NULL AS level, a AS estimate FROM z UNION ALL SELECT 'l_quantity', NULL, b FROM b
 UNION ALL SELECT 'l_partkey', level, a.a - z.a FROM a, z""", rounded=["estimate"], digits=2)
 def q_sparse_ols(spark, sf):
-    """M6: price on quantity and one column per part, by conjugate gradients on sparse rows."""
+    """M6: price on quantity and one column per part, by conjugate gradients on the normal equations of sparse rows."""
     lines = table(spark, sf, "lineitem", "l_extendedprice", "l_quantity", "l_partkey")
     return sparse.sparse_ols(lines, "l_extendedprice", ["l_quantity"], ["l_partkey"])[0]
 

@@ -264,6 +264,35 @@ def test_two_factors_match_dense(spark):
         sparse.sparse_ols(df.limit(0), "y", ["x"], ["u"])
 
 
+def test_no_vector_by_level_reaches_the_driver(spark, monkeypatch):
+    """3,000 levels of one feature and 4 of another, the gradient taken anew in between: as the dense fit."""
+    rng = np.random.default_rng(12)
+    n, levels = 6000, 3000
+    u = np.concatenate([np.arange(levels), rng.integers(0, levels, n - levels)])
+    v, x = rng.integers(0, 4, n), rng.normal(size=n)
+    y = 2 * x + np.cos(u) - np.sin(v) + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"u": [f"u{i:04d}" for i in u], "v": [f"v{i}" for i in v], "x": x, "y": y}))
+    fetched, kind = [], type(df)
+    for name in ("collect", "toLocalIterator", "toPandas"):
+        def counted(self, *args, _of=getattr(kind, name), **more):
+            out = list(_of(self, *args, **more))
+            fetched.append(len(out))
+            return out
+        monkeypatch.setattr(kind, name, counted)
+    monkeypatch.setattr(sparse, "REFRESH", 4, raising=False)
+    table, fit = sparse.sparse_ols(df, "y", ["x"], ["u", "v"])
+    monkeypatch.undo()
+    assert max(fetched, default=0) < 100 and fit.iterations > 4
+    got = {(r.term, r.level): r.estimate for r in table.collect()}
+    within = np.column_stack([x, *(v == i for i in (1, 2, 3)), y]).astype(float)
+    mean = pd.DataFrame(within).groupby(u).transform("mean").to_numpy()
+    b = np.linalg.lstsq((within - mean)[:, :4], (within - mean)[:, 4], rcond=None)[0]
+    assert np.allclose([got["x", None], *(got["v", f"v{i}"] for i in (1, 2, 3))], b, atol=1e-8)
+    a = pd.Series(y - within[:, :4] @ b).groupby(u).mean().to_numpy()
+    assert np.allclose([got["u", f"u{i:04d}"] for i in range(levels)], a - a[0], atol=1e-7) and np.isclose(got["Intercept", None], a[0])
+    assert np.isclose(fit.sse, np.square(y - within[:, :4] @ b - a[u]).sum(), rtol=1e-9)
+
+
 # --- rank spans ------------------------------------------------------------------------------------------
 
 def test_normal_scores_by_span(spark):
