@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.flights import CAUSES
@@ -56,12 +56,35 @@ def fill_median(df: DataFrame, cols, strategy: str = "median", method: str = "ex
                            for c in cols})
 
 
-def handle_missing(df: DataFrame) -> DataFrame:
-    """Code 'N', causes 0, delays to median, completion columns 0, then drop."""
-    out = fill_constant(df, {"cancellation_code": "N", **{c: 0.0 for c in CAUSES}})
-    out = fill_median(out, [c for c in ("dep_delay", "arr_delay") if c in out.columns])
-    out = fill_constant(out, {c: 0.0 for c in COMPLETION_COLS})
-    return drop_missing_rows(out)
+#: Columns whose nulls C5 fills, by a constant or by their median.
+FILLED = {"cancellation_code": "N", **{c: 0.0 for c in CAUSES}, **{c: 0.0 for c in COMPLETION_COLS}}
+FILLED_BY_MEDIAN = ("dep_delay", "arr_delay")
+
+
+def fillable(df: DataFrame) -> Column:
+    """Whether C5 keeps a row: it drops NaN, and null where it fills none. True or false, never null."""
+    keeps = F.lit(True)
+    for c, kind in df.dtypes:
+        if c not in FILLED and c not in FILLED_BY_MEDIAN:
+            keeps = keeps & F.col(c).isNotNull()
+        if kind in ("double", "float"):
+            keeps = keeps & ~F.coalesce(F.isnan(c), F.lit(False))
+    return keeps
+
+
+def handle_missing(df: DataFrame, keeps: str | None = None) -> DataFrame:
+    """Code 'N', causes 0, delays to median, completion columns 0, then drop.
+
+    ``keeps`` names a stored column of ``fillable``, which the result loses: passes then read it in place
+    of every column."""
+    medians = [c for c in FILLED_BY_MEDIAN if c in df.columns]
+    out = fill_median(fill_constant(df, FILLED), medians)
+    if keeps is None:
+        return drop_missing_rows(out)
+    out = out.where(F.col(keeps)).drop(keeps)
+    # a delay without any value has no median: its nulls stay, and so no row does
+    empty = [c for c in medians if df.where(F.col(c).isNotNull() & ~F.isnan(c)).isEmpty()]
+    return drop_missing_rows(out, empty) if empty else out
 
 
 def winsorize(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99, method: str = "exact",
@@ -86,10 +109,15 @@ def load_clean(flights: DataFrame, n: int | None = None, key: str = "flight_key"
     """Optional exact sample, then C5, then C6 on the capped columns.
 
     The input is written once to the shared checkpoint folder (four fitting
-    passes follow), unless the caller already passes a stored table.
+    passes follow), with a column that says which rows C5 keeps, unless the
+    caller already passes a stored table.
     """
     from ..session import materialize
     base = sample_exact(flights, n, key, seed) if n is not None else flights
+    keeps = None
     if materialize_input:
-        base = materialize(base, "load_clean_input")
-    return winsorize(handle_missing(base), NUMERIC_COLS_TO_CAP)
+        keeps = "_keeps"
+        while keeps in base.columns:
+            keeps += "_"
+        base = materialize(base.withColumn(keeps, fillable(base)), "load_clean_input")
+    return winsorize(handle_missing(base, keeps), NUMERIC_COLS_TO_CAP)

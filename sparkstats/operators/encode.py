@@ -114,5 +114,8 @@ def encode(df: DataFrame) -> DataFrame:
 
 
 def build_features(df: DataFrame) -> DataFrame:
-    """E1, E2, then E4 on the numeric features that are present."""
-    return standard_scale(encode(df), NUMERIC_FEATURES, ddof=0)
+    """E1, E2, then E4 on the numeric features that are present. The scaler is fitted before
+    the encoding, which leaves these features and the rows as they are: its pass joins nothing."""
+    cols = [c for c in NUMERIC_FEATURES if c in df.columns]
+    scale = scaler_table(df, cols, ddof=0)
+    return apply_scaler(encode(df), scale, cols)

@@ -157,10 +157,12 @@ def quantiles_wide(df: DataFrame, col: str, probs, names, by=(), method: str = "
 
 
 def stacked(df: DataFrame, cols, name="column", value="value", by=()) -> DataFrame:
-    """Long form (by..., column, value) of several numeric columns: one scan."""
-    return df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value))
-        for c in cols])).alias("_kv")).select(*by, f"_kv.{name}", f"_kv.{value}")
+    """Long form (by..., column, value) of several numeric columns: one scan, each row expanded
+    without an array of its values."""
+    plain = df.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[F.col(c).cast("double").alias(c) for c in cols])
+    ids = [f"_b{i}" for i in range(len(by))]
+    long = plain.unpivot(ids, list(cols), "_column", "_value")
+    return long.select(*[F.col(f"_b{i}").alias(c) for i, c in enumerate(by)], F.col("_column").alias(name), F.col("_value").alias(value))
 
 
 def multi_quantiles(df: DataFrame, cols, probs, names, by=(), method: str = "exact", accuracy: int = 10_000) -> DataFrame:

@@ -220,3 +220,24 @@ def test_packed_blocks_hold_every_number(spark):
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)]), "a": pa.array([float(x[:, 0].sum())]), "nan": pa.array([int((x[:, 1] != x[:, 1]).sum())])})
     r = packed(df).mapInArrow(sums, "n long, a double, nan long").groupBy().sum("n", "a", "nan").first()
     assert tuple(r) == (25_001, 25_000 * 25_001 / 2, 3572)
+
+
+def test_cleaning_passes_read_no_other_columns(spark, tmp_path):
+    """Rows with nulls, NaN and none: as the cleaning of an input without the stored flag, by narrower scans."""
+    from sparkstats.operators import clean, encode
+    nan = float("nan")
+    rows = [(f"k{i}", "ABC"[i % 3], "xy"[i % 2], "yx"[i % 2], float(i % 7), float(i % 5), float(i), float(i % 4)) for i in range(200)]
+    rows += [("n1", "A", "x", "y", None, None, 3.0, None), ("n2", "A", "x", "y", nan, 1.0, 3.0, 1.0), ("n3", "B", "x", "y", 1.0, 1.0, nan, 1.0),
+             ("n4", "B", "x", "y", 1.0, 1.0, None, 1.0), (None, "B", "x", "y", 1.0, 1.0, 1.0, 1.0), ("n5", None, "x", "y", 1.0, 1.0, 1.0, 1.0),
+             ("n6", "B", "x", "y", 1.0, 1.0, 1.0, nan), ("n7", "C", "y", "x", 1.0, None, 1.0, 0.0)]
+    kinds = "flight_key string, op_unique_carrier string, origin string, dest string, dep_delay double, arr_delay double, distance double, carrier_delay double"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "t"))
+    for df in (spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t")).withColumn("dep_delay", F.lit(None).cast("double"))):
+        flagged, plain = clean.load_clean(df), clean.load_clean(df, materialize_input=False)
+        assert flagged.columns == plain.columns and sorted(flagged.collect()) == sorted(plain.collect())
+    flagged = clean.load_clean(spark.read.parquet(str(tmp_path / "t")))
+    assert flagged.count() == 202
+    plan = flagged.select("origin")._jdf.queryExecution().executedPlan().toString()
+    assert "flight_key" not in plan.split("ReadSchema")[1] and "distance" not in plan.split("ReadSchema")[1]
+    after = encode.build_features(flagged).agg(F.avg("distance"), F.stddev_pop("distance"), F.sum("op_unique_carrier_B")).first()
+    assert abs(after[0]) < 1e-9 and abs(after[1] - 1) < 1e-9 and after[2] == 67
