@@ -7,7 +7,7 @@ runs as conjugate gradients on the normal equations, preconditioned by the colum
 squares. Their cells that are not 0 are summed over the rows once: a level's row count and sums of
 the head, and the row counts of pairs of levels of different features. Vectors as long as
 the design is wide are stored tables with a row per level: an iteration is a pass over them, and only
-sums reach the driver. No vector by level and no p x p matrix exists in any one place.
+sums are collected. Joins may broadcast such a table while it is small; no p x p matrix exists anywhere.
 """
 
 from __future__ import annotations
