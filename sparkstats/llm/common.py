@@ -58,6 +58,13 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that broadcasts neither side. Spark sizes a table by its files and
+    takes a row to stay one row in an ``explode``: a side that is many times as large counts as
+    small then, and would pass through the driver."""
+    return df.hint("merge")
+
+
 def text_of(col: str | Column = "text") -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(""))

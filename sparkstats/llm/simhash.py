@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identity, stored, text_of
+from .common import identity, shuffled, stored, text_of
 from .components import components
 
 PAIRS_LOW = 0x5555555555555555  # the low bit of each 2-bit segment
@@ -97,13 +97,13 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
                  F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))) for i, m in enumerate(grids)])).alias("cell")))
     leaders = (cells.groupBy("cell").agg(F.max(F.struct("n", "fp"))["fp"].alias("leader"), F.count("*").alias("size"))
                .filter("size > 1").drop("size"))
-    members = stored(cells.drop("n").join(leaders, "cell")
+    members = stored(cells.drop("n").join(shuffled(leaders), "cell")
                      .withColumn("near", (_differ(code, _unary(F.col("leader"))) <= max_bits)
                                  & (_differ(F.col("fp"), F.col("leader")) <= max_bits)), "cells")
     to_leader = members.filter("near AND fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b"))
     stray = members.filter("NOT near").select("cell", F.col("fp").alias("a"))
     other = members.select(F.col("cell").alias("c"), F.col("fp").alias("b"), "near")
-    across = stray.join(other, (F.col("cell") == F.col("c")) & (F.col("near") | (F.col("a") < F.col("b")))
+    across = stray.join(shuffled(other), (F.col("cell") == F.col("c")) & (F.col("near") | (F.col("a") < F.col("b")))
                         & (_differ(_unary(F.col("a")), _unary(F.col("b"))) <= max_bits)
                         & (_differ(F.col("a"), F.col("b")) <= max_bits)).select("a", "b")
     return to_leader.unionByName(across)
@@ -116,8 +116,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     classes = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes, max_bits))
     # both sides of the last joins are stored: plain exchanges, which a component of any size can be split over
-    rooted = stored(classes.join(roots, classes.fp == roots.node, "left")
+    rooted = stored(classes.join(shuffled(roots), classes.fp == roots.node, "left")
                     .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "_id", "_th", "fp", "component_id")
+    named = stored(rooted.join(shuffled(least), "root").select("fp", "component_id"), "named")
+    return prints.join(shuffled(named), "fp").select("doc_id", "_id", "_th", "fp", "component_id")

@@ -227,6 +227,26 @@ def test_grid_finds_every_close_pair(spark):
     assert components(fps, got) == components(fps, pairs)
 
 
+def plans(monkeypatch, module) -> list[str]:
+    """Gets the plan of every table that ``module`` stores."""
+    found = []
+
+    def noted(df, name, store=module.stored):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+    monkeypatch.setattr(module, "stored", noted)
+    return found
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
+    classes = spark.createDataFrame([(x, 1) for x in range(0, 400, 7)], "fp long, n long")
+    found = plans(monkeypatch, simhash)
+    grid = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
+    simhash.near_duplicates(docs(spark, near_copies(30)))
+    assert len(found) > 5 and "Generate explode" in found[0] and "SortMergeJoin" in grid
+    assert not [p for p in [*found, grid] if "BroadcastExchange" in p]
+
+
 # --- embeddings
 
 def test_vectors_odd_cases(spark):
