@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carrying, identity, stored, text_of
+from .common import carrying, identity, shuffled, stored, text_of
 
 
 def _windows(size: int) -> Column:
@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     place = F.struct("_id", "_th", "start")
     first = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
              .filter("n > 1").drop("n"))
-    covered = (windows.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+    covered = (windows.join(shuffled(first), ["h1", "h2"]).filter(place > F.col("first"))
                .groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "end")).alias("_spans")))
     lines = F.split(text_of(), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
@@ -128,7 +128,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     place = F.struct("_id", "_th", "start")
     # half the hash finds what may be repeated; the whole of it decides below
     many = windows.select("h1").groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = stored(windows.join(many, "h1"), "repeated-windows")
+    again = stored(windows.join(shuffled(many), "h1"), "repeated-windows")
     # both sides stored: plain exchanges, over which a very common window can be split
     first = stored(again.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-windows")
     covered = (again.join(first, ["h1", "h2"]).filter(place > F.col("first"))

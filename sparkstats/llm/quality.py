@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import carrying, stored, text_of
+from .common import carrying, shuffled, stored, text_of
 
 LABELLED = 6000
 HELD_OUT = 5             # every fifth labelled document calibrates
@@ -220,7 +220,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled sample, stored: ``doc_id, good`` and what features are made of."""
     marked = (labels.filter(F.col("doc_id").isNotNull()).select("doc_id", _good().alias("good"))
               .groupBy("doc_id").agg(F.min("good").alias("good")).filter("good IS NOT NULL"))
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(marked, "doc_id")
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(shuffled(marked), "doc_id")
     chosen = stored(ids.select("doc_id", "good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labelled-sample")
     # at most LABELLED rows are broadcast; of an id's rows the one of least hash stays, so
     # that no id weighs more than another

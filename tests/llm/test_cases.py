@@ -247,6 +247,17 @@ def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
     assert not [p for p in [*found, grid] if "BroadcastExchange" in p]
 
 
+def test_passages_and_labels_are_not_broadcast(spark, monkeypatch):
+    found = plans(monkeypatch, line_dedup)
+    lines = line_dedup.dedup_lines(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    line_dedup.dedup_passages(docs(spark))
+    assert re.search(r"SortMergeJoin \[h1#\d+L?, h2#\d+L?\]", lines)
+    assert "Generate explode" in found[0] and "BroadcastExchange" not in found[0]
+    found = plans(monkeypatch, quality)
+    quality.training_rows(docs(spark), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert "BroadcastExchange" not in found[0]
+
+
 # --- embeddings
 
 def test_vectors_odd_cases(spark):
