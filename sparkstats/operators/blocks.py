@@ -2,6 +2,10 @@
 
 A block is one binary value: up to ``ROWS`` rows of doubles, row by row. A pass then hands tasks
 whole matrices, instead of turning every number of a table into Arrow and back.
+
+Parquet's writer and reader expect small values: they look at sizes only once in 100 values and read a row
+group as one batch, so that blocks as they stand would make pages of 80 MB and batches of 128 MB and more in
+each task. ``SMALL`` has them look at every value and keeps row groups to a few blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ from ..session import materialize
 #: Rows of a block, as many as Spark hands over in a batch at most by default.
 ROWS = 10_000
 
+#: Parquet's settings for a table of blocks: what a task holds at once follows them, whatever the table's size.
+SMALL = {"parquet.block.size": str(4 << 20), "parquet.page.size": str(1 << 20), "parquet.page.size.row.check.min": "1",
+         "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
+
 
 def packed(df: DataFrame, tag: str = "blocks") -> DataFrame:
     """The columns of ``df`` (doubles, a null becomes NaN; longs without nulls, kept bit by bit) as stored blocks."""
@@ -31,7 +39,7 @@ def packed(df: DataFrame, tag: str = "blocks") -> DataFrame:
             parts = [x[i:i + ROWS].tobytes() for i in range(0, len(x), ROWS)]
             yield pa.RecordBatch.from_pydict({"block": pa.array(parts, pa.binary())})
 
-    blocks = materialize(df.mapInArrow(run, "block binary"), tag)
+    blocks = materialize(df.mapInArrow(run, "block binary"), tag, **SMALL)
     return blocks.select(F.col("block").alias("block", metadata={"width": len(df.columns)}))
 
 

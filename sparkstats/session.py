@@ -67,14 +67,14 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
-def materialize(df, tag: str = "stage"):
+def materialize(df, tag: str = "stage", **options: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it
     back. Multi-pass operators (quantile fits, Gram passes, k-means, LDA) then
     scan a columnar table with pruning and pushdown instead of re-running the
     upstream joins; the written table also cuts lineage, so a lost executor
-    re-reads files rather than recomputing the whole plan."""
+    re-reads files rather than recomputing the whole plan. ``options`` go to the writer."""
     import uuid
     spark = df.sparkSession
     path = checkpoint_path(spark, f"tables/{tag}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)

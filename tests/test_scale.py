@@ -12,12 +12,13 @@ import sys
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sparkstats.functions import dist, labels
-from sparkstats.operators import (cluster, discrim, encode, evaluate, formats, linear, local, logistic, model_store, ordered, sampling,
-                                  sparse, stats)
+from sparkstats.operators import (blocks, cluster, discrim, encode, evaluate, formats, linear, local, logistic, model_store, ordered,
+                                  sampling, sparse, stats)
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 NAN = float("nan")
@@ -429,6 +430,16 @@ def test_durbin_watson_exact_p(spark):
     assert np.isclose(linear.quadratic_ratio_cdf(np.array([1.0, 0.0]), 0.3), 2 / math.pi * math.asin(math.sqrt(0.3)), atol=1e-7)
 
 
+def test_blocks_are_read_a_few_at_a_time(spark):
+    rows = spark.range(400_000, numPartitions=1).select(*[(F.col("id") * k).cast("double").alias(f"x{k}") for k in range(1, 11)])
+    table = blocks.packed(rows)
+    stored = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in stored for i in range(m.num_row_groups)]
+    assert sum(sizes) > 30 << 20 and max(sizes) < 12 << 20
+    got = np.concatenate([np.frombuffer(r.block).reshape(-1, 10) for r in table.collect()])
+    assert (got[got[:, 0].argsort()] == np.arange(400_000.0)[:, None] * np.arange(1, 11)).all()
+
+
 def test_logistic_newton(spark):
     rng = np.random.default_rng(13)
     x = np.column_stack([rng.normal(size=2000), 1e4 * rng.normal(size=2000), np.zeros(2000)])
